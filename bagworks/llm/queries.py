@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from bagworks.llm.frequencies import term_frequencies
 from bagworks.llm.leaders import leading_terms
-from bagworks.llm.occurrences import basket_occurrences, long_occurrences
+from bagworks.llm.occurrences import basket_occurrences, baskets, long_occurrences
+from bagworks.llm.overlap import set_overlaps
+from bagworks.llm.pairs import pair_counts
 from bagworks.plans.tables import table
 from bagworks.session import checked_broadcast, materialize
 
@@ -19,6 +21,19 @@ def _sources(spark, d) -> dict[str, DataFrame]:
     }
 
 
+# Problem 1
+def p1_found(spark, d):
+    base = baskets(table(spark, d, "transactions"), "db_id", "tid", "items")
+    return pair_counts(base, 15, 4.0).select(F.col("owner").alias("db_id"), "item_a", "item_b")
+
+
+def p1_pairs(spark, d):
+    """Pairs in at least 15 transactions, with their lift in thousandths (floor of 1000 c_ab n / (c_a c_b))."""
+    base = baskets(table(spark, d, "transactions"), "db_id", "tid", "items")
+    lift = F.expr("(1000 * c_ab * n) div (c_a * c_b)").alias("lift_milli")
+    return pair_counts(base, 15).select(F.col("owner").alias("db_id"), "item_a", "item_b", "c_ab", "c_a", "c_b", "n", lift)
+
+
 # Problem 2
 def _frequencies(spark, d) -> DataFrame:
     both = [term_frequencies(occ).select(F.lit(src).alias("src"), "*") for src, occ in _sources(spark, d).items()]
@@ -36,6 +51,16 @@ def p2_frequencies(spark, d):
     return _frequencies(spark, d).select("src", F.col("owner").alias("owner_id"), F.col("term").alias("item"), "occurrences", F.col("records").alias("support"), F.col("n").alias("owner_records"))
 
 
+# Problem 3
+def p3_found(spark, d):
+    o = set_overlaps(table(spark, d, "kmer_sets"), "set_id", "k")
+    return o.where("10 * shared >= 3 * least(size_a, size_b)").select("set_a", "set_b")
+
+
+def p3_overlaps(spark, d):
+    return set_overlaps(table(spark, d, "kmer_sets"), "set_id", "k")
+
+
 # Problem 7
 def p7_found(spark, d):
     return p7_leaders(spark, d).select("src", "owner_id", "item")
@@ -56,8 +81,27 @@ _OCC = """with o as (
  c as (select src, owner_id, item, count(*) as occurrences, count(distinct tid) as support from o group by src, owner_id, item),
  n as (select src, owner_id, count(distinct tid) as n, count(*) as total from o group by src, owner_id)"""
 
-QUERIES = {"p2_found": p2_found, "p2_frequencies": p2_frequencies, "p7_found": p7_found, "p7_leaders": p7_leaders}
+_BASKETS = """with o as (select distinct db_id, tid, item from (select db_id, tid, unnest(items) as item from transactions
+  where db_id is not null and tid is not null) where item is not null),
+ n as (select db_id, count(distinct tid) as n from o group by db_id),
+ c as (select db_id, item, count(*) as c from o group by db_id, item),
+ k as (select o.* from o join c using (db_id, item) where c >= 15),
+ ab as (select x.db_id, x.item as item_a, y.item as item_b, count(*) as c_ab from k x join k y on x.db_id = y.db_id and x.tid = y.tid and x.item < y.item
+  group by x.db_id, x.item, y.item having count(*) >= 15),
+ p as (select ab.*, a.c as c_a, b.c as c_b, n.n from ab join c a on a.db_id = ab.db_id and a.item = item_a
+  join c b on b.db_id = ab.db_id and b.item = item_b join n on n.db_id = ab.db_id)"""
+
+_OVERLAPS = """with s as (select distinct upper(trim(set_id, ' ')) as s, k from kmer_sets where set_id is not null and k is not null),
+ z as (select s, count(*) as n from s group by s),
+ o as (select a.s as set_a, b.s as set_b, count(*) as shared from s a join s b on a.k = b.k and a.s < b.s group by a.s, b.s),
+ p as (select o.*, za.n as size_a, zb.n as size_b from o join z za on za.s = set_a join z zb on zb.s = set_b)"""
+
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p3_overlaps": p3_overlaps, "p7_found": p7_found, "p7_leaders": p7_leaders}
 ORACLE = {
+    "p1_found": f"{_BASKETS} select db_id, item_a, item_b from p where c_ab * n >= 4 * c_a * c_b",
+    "p1_pairs": f"{_BASKETS} select db_id, item_a, item_b, c_ab, c_a, c_b, n, ((1000 * c_ab * n) // (c_a * c_b))::bigint as lift_milli from p",
+    "p3_found": f"{_OVERLAPS} select set_a, set_b from p where 10 * shared >= 3 * least(size_a, size_b)",
+    "p3_overlaps": f"{_OVERLAPS} select set_a, set_b, shared, size_a, size_b from p",
     "p2_found": f"""{_OCC} select src, owner_id, item, 'rare' as mark from c where support <= 2
  union all select src, owner_id, item, 'common' from c join n using (src, owner_id) where 2 * support >= n""",
     "p2_frequencies": f"{_OCC} select src, owner_id, item, occurrences, support, n as owner_records from c join n using (src, owner_id)",
