@@ -10,6 +10,8 @@ from bagworks.llm.leaders import leading_terms
 from bagworks.llm.occurrences import basket_occurrences, baskets, long_occurrences
 from bagworks.llm.overlap import set_overlaps
 from bagworks.llm.pairs import pair_counts
+from bagworks.llm.quantiles import quantiles_of, summarize
+from bagworks.llm.similar import classes, similar_classes, similar_pairs
 from bagworks.plans.tables import table
 from bagworks.session import checked_broadcast, materialize
 
@@ -61,6 +63,64 @@ def p3_overlaps(spark, d):
     return set_overlaps(table(spark, d, "kmer_sets"), "set_id", "k")
 
 
+# Problem 5
+_PROBS = [0.5, 0.9, 0.95, 0.99]
+
+
+def _timings(spark, d) -> DataFrame:
+    """(config_id, metric, day, ms): every value of each bench_id or run_id once, on the day of its first delivery."""
+    b = table(spark, d, "benchmark_timings").where("bench_id is not null and config_id is not null")
+    b = b.groupBy("bench_id").agg(F.min("loaded_at").alias("at"), F.max(F.struct("loaded_at", "config_id", "unit", "kernel", "lookback")).alias("x"))
+    scale = F.when(F.col("x.unit") == "us", 1000.0).when(F.col("x.unit") == "ms", 1.0)
+    b = b.select("at", F.col("x.config_id").alias("config_id"), scale.alias("scale"), F.explode(F.array(F.struct(F.lit("kernel").alias("metric"), F.col("x.kernel").alias("v")), F.struct(F.lit("lookback").alias("metric"), F.col("x.lookback").alias("v")))).alias("m"))
+    b = b.select("config_id", F.col("m.metric").alias("metric"), F.to_date("at").alias("day"), "scale", F.explode("m.v").alias("v")).select("config_id", "metric", "day", (F.col("v") / F.col("scale")).alias("ms"))
+    r = table(spark, d, "run_records").where("run_id is not null and config_id is not null")
+    r = r.groupBy("run_id").agg(F.min("loaded_at").alias("at"), F.max(F.struct("loaded_at", "config_id", "e2e_ms")).alias("x"))
+    r = r.select(F.col("x.config_id").alias("config_id"), F.lit("e2e_ms").alias("metric"), F.to_date("at").alias("day"), F.col("x.e2e_ms").alias("ms"))
+    return b.unionByName(r).where("ms >= 0 and not isnan(ms)")
+
+
+def _quantile_columns(q: DataFrame) -> DataFrame:
+    return q.select("config_id", "metric", F.col("n").alias("n_values"), *[F.col("quantiles")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(_PROBS)])
+
+
+def p5_found(spark, d):
+    q = quantiles_of(summarize(_timings(spark, d), ["config_id", "metric"], "ms"), ["config_id", "metric"], [0.5, 0.95])
+    return q.where("quantiles[1] >= 3 * quantiles[0]").select("config_id", "metric")
+
+
+def p5_quantiles(spark, d):
+    return _quantile_columns(quantiles_of(summarize(_timings(spark, d), ["config_id", "metric"], "ms"), ["config_id", "metric"], _PROBS))
+
+
+def p5_days_added(spark, d):
+    """The same from summaries that were made and kept day by day."""
+    days = materialize(summarize(_timings(spark, d), ["config_id", "metric", "day"], "ms"))
+    return _quantile_columns(quantiles_of(days.drop("day"), ["config_id", "metric"], _PROBS))
+
+
+# Problem 6
+def _set_classes(spark, d) -> DataFrame:
+    p = table(spark, d, "set_pairs").where("pair_id is not null")
+    p = p.groupBy("pair_id").agg(F.max(F.struct("loaded_at", "a_id", "b_id", "a", "b")).alias("x"))
+    sides = p.select(F.explode(F.array(F.struct(F.col("x.a_id").alias("id"), F.col("x.a").alias("v")), F.struct(F.col("x.b_id").alias("id"), F.col("x.b").alias("v")))).alias("s"))
+    return materialize(classes(sides.select("s.id", "s.v"), "id", "v", 3))
+
+
+def p6_found(spark, d):
+    m = _set_classes(spark, d)
+    return similar_pairs(m, similar_classes(m, 7, 10))
+
+
+def p6_members(spark, d):
+    """One row per record: its class (named by its least id), the class's size and its number of links to other classes."""
+    m = _set_classes(spark, d)
+    links = similar_classes(m, 7, 10)
+    ends = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).unionAll(links.select("b1", "b2")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("links"))
+    c = m.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")).join(ends, ["h1", "h2"], "left")
+    return m.join(c, ["h1", "h2"]).select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+
+
 # Problem 7
 def p7_found(spark, d):
     return p7_leaders(spark, d).select("src", "owner_id", "item")
@@ -96,7 +156,27 @@ _OVERLAPS = """with s as (select distinct upper(trim(set_id, ' ')) as s, k from
  o as (select a.s as set_a, b.s as set_b, count(*) as shared from s a join s b on a.k = b.k and a.s < b.s group by a.s, b.s),
  p as (select o.*, za.n as size_a, zb.n as size_b from o join z za on za.s = set_a join z zb on zb.s = set_b)"""
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p3_overlaps": p3_overlaps, "p7_found": p7_found, "p7_leaders": p7_leaders}
+_TIMES = """with b as (select config_id, unit, kernel, lookback from (select *, row_number() over (partition by bench_id order by loaded_at desc) as r
+  from benchmark_timings where bench_id is not null and config_id is not null) where r = 1),
+ v as (select config_id, 'kernel' as metric, unnest(kernel) / case unit when 'us' then 1000.0 when 'ms' then 1.0 end as ms from b
+  union all select config_id, 'lookback', unnest(lookback) / case unit when 'us' then 1000.0 when 'ms' then 1.0 end from b
+  union all select config_id, 'e2e_ms', e2e_ms from (select *, row_number() over (partition by run_id order by loaded_at desc) as r
+   from run_records where run_id is not null and config_id is not null) where r = 1),
+ o as (select config_id, metric, ms, row_number() over (partition by config_id, metric order by ms) as r, count(*) over (partition by config_id, metric) as n
+  from v where ms >= 0 and not isnan(ms)),
+ q as (select config_id, metric, max(n) as n_values, max(ms) filter (r = ceil(0.5 * n)) as p50, max(ms) filter (r = ceil(0.9 * n)) as p90,
+  max(ms) filter (r = ceil(0.95 * n)) as p95, max(ms) filter (r = ceil(0.99 * n)) as p99 from o group by config_id, metric)"""
+
+_SETS = """with l as (select * from (select *, row_number() over (partition by pair_id order by loaded_at desc) as r from set_pairs) where r = 1),
+ s as (select a_id as id, unnest(a) as v from l union all select b_id, unnest(b) from l),
+ t as (select distinct id, v from s where id is not null and v is not null),
+ z as (select id, count(*) as n, list(v order by v) as vs from t group by id having count(*) >= 3),
+ p as (select x.id as id_1, y.id as id_2, count(*) as c from t x join t y on x.v = y.v and x.id < y.id group by x.id, y.id),
+ f as (select id_1, id_2 from p join z a on a.id = id_1 join z b on b.id = id_2 where 10 * c >= 7 * (a.n + b.n - c))"""
+
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p3_overlaps": p3_overlaps,
+    "p5_found": p5_found, "p5_quantiles": p5_quantiles, "p5_days_added": p5_days_added, "p6_found": p6_found, "p6_members": p6_members, "p7_found": p7_found, "p7_leaders": p7_leaders,
+}
 ORACLE = {
     "p1_found": f"{_BASKETS} select db_id, item_a, item_b from p where c_ab * n >= 4 * c_a * c_b",
     "p1_pairs": f"{_BASKETS} select db_id, item_a, item_b, c_ab, c_a, c_b, n, ((1000 * c_ab * n) // (c_a * c_b))::bigint as lift_milli from p",
@@ -105,6 +185,15 @@ ORACLE = {
     "p2_found": f"""{_OCC} select src, owner_id, item, 'rare' as mark from c where support <= 2
  union all select src, owner_id, item, 'common' from c join n using (src, owner_id) where 2 * support >= n""",
     "p2_frequencies": f"{_OCC} select src, owner_id, item, occurrences, support, n as owner_records from c join n using (src, owner_id)",
+    "p5_found": f"{_TIMES} select config_id, metric from q where p95 >= 3 * p50",
+    "p5_quantiles": f"{_TIMES} select * from q",
+    "p5_days_added": f"{_TIMES} select * from q",
+    "p6_found": f"{_SETS} select id_1, id_2 from f",
+    "p6_members": f"""{_SETS}, c as (select vs, min(id) as class_id, count(*) as copies from z group by vs),
+ k as (select z.id, class_id, copies from z join c using (vs)),
+ e as (select distinct a.class_id as x, b.class_id as y from f join k a on a.id = id_1 join k b on b.id = id_2 where a.class_id <> b.class_id),
+ n as (select x, count(distinct y) as links from (select x, y from e union select y, x from e) group by x)
+ select id, class_id, copies, coalesce(links, 0)::bigint as links from k left join n on x = class_id""",
     "p7_found": f"{_OCC} select src, owner_id, item from c join n using (src, owner_id) where occurrences * 100 >= total",
     "p7_leaders": f"{_OCC} select src, owner_id, item, occurrences, total as owner_occurrences from c join n using (src, owner_id) where occurrences * 100 >= total",
 }
