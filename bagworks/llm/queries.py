@@ -12,6 +12,7 @@ from bagworks.llm.overlap import set_overlaps
 from bagworks.llm.pairs import pair_counts
 from bagworks.llm.quantiles import quantiles_of, summarize
 from bagworks.llm.similar import classes, similar_classes, similar_pairs
+from bagworks.llm.subjects import assign_subjects
 from bagworks.plans.tables import table
 from bagworks.session import checked_broadcast, materialize
 
@@ -141,6 +142,24 @@ _OCC = """with o as (
  c as (select src, owner_id, item, count(*) as occurrences, count(distinct tid) as support from o group by src, owner_id, item),
  n as (select src, owner_id, count(distinct tid) as n, count(*) as total from o group by src, owner_id)"""
 
+# Problem 10
+def _subjects(spark, d) -> DataFrame:
+    names = [r[0] for r in table(spark, d, "subjects").where("subject is not null").select("subject").distinct().limit(1000).collect()]
+    return assign_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), names)
+
+
+def p10_found(spark, d):
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p10_composition(spark, d):
+    """How many documents and characters each subject has; a document about two counts half for each."""
+    s = _subjects(spark, d)
+    s = s.join(s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")), "doc_id")
+    n = table(spark, d, "documents").select("doc_id", "n_chars")
+    return s.join(n, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum(1 / F.col("k")), 1).alias("docs_shared"), F.round(F.sum(F.col("n_chars") / F.col("k")), 1).alias("chars_shared"))
+
+
 _BASKETS = """with o as (select distinct db_id, tid, item from (select db_id, tid, unnest(items) as item from transactions
   where db_id is not null and tid is not null) where item is not null),
  n as (select db_id, count(distinct tid) as n from o group by db_id),
@@ -176,6 +195,7 @@ _SETS = """with l as (select * from (select *, row_number() over (partition by p
 
 QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p3_overlaps": p3_overlaps,
     "p5_found": p5_found, "p5_quantiles": p5_quantiles, "p5_days_added": p5_days_added, "p6_found": p6_found, "p6_members": p6_members, "p7_found": p7_found, "p7_leaders": p7_leaders,
+    "p10_found": p10_found, "p10_composition": p10_composition,
 }
 ORACLE = {
     "p1_found": f"{_BASKETS} select db_id, item_a, item_b from p where c_ab * n >= 4 * c_a * c_b",
