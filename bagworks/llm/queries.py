@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from bagworks.llm.frequencies import term_frequencies
 from bagworks.llm.leaders import leading_terms
+from bagworks.llm.mixing import mix_sources, shares_report
 from bagworks.llm.occurrences import basket_occurrences, baskets, long_occurrences
 from bagworks.llm.overlap import set_overlaps
+from bagworks.llm.packing import Capacity, pack_documents
 from bagworks.llm.pairs import pair_counts
 from bagworks.llm.quantiles import quantiles_of, summarize
 from bagworks.llm.similar import classes, similar_classes, similar_pairs
 from bagworks.llm.subjects import assign_subjects
+from bagworks.llm.tokens import count_tokens
 from bagworks.plans.tables import table
 from bagworks.session import checked_broadcast, materialize
 
@@ -142,6 +145,35 @@ _OCC = """with o as (
  c as (select src, owner_id, item, count(*) as occurrences, count(distinct tid) as support from o group by src, owner_id, item),
  n as (select src, owner_id, count(distinct tid) as n, count(*) as total from o group by src, owner_id)"""
 
+# Problem 8
+CAPACITY = Capacity(tokens=8192, items=64)
+
+
+def p8_containers(spark, d):
+    return pack_documents(count_tokens(table(spark, d, "documents")), CAPACITY)
+
+
+def p8_fill(spark, d):
+    """One row: containers, the fewest that the tokens could fill, and the filled share."""
+    bins = p8_containers(spark, d).groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k"))
+    full = F.ceil(F.sum("t") / CAPACITY.tokens).cast("bigint")
+    return bins.agg(F.count(F.lit(1)).alias("containers"), full.alias("fewest"), F.sum("t").alias("tokens"), F.max("t").alias("most_tokens"), F.max("k").alias("most_items"), F.round(F.sum("t") / (F.count(F.lit(1)) * CAPACITY.tokens), 4).alias("fill"))
+
+
+# Problem 9
+def _sized(spark, d) -> DataFrame:
+    return materialize(count_tokens(table(spark, d, "documents"), keep=("doc_id", "source")))
+
+
+def p9_mixture(spark, d):
+    return mix_sources(_sized(spark, d), table(spark, d, "source_targets"))
+
+
+def p9_shares(spark, d):
+    sized, targets = _sized(spark, d), table(spark, d, "source_targets")
+    return shares_report(mix_sources(sized, targets), sized, targets)
+
+
 # Problem 10
 def _subjects(spark, d) -> DataFrame:
     names = [r[0] for r in table(spark, d, "subjects").where("subject is not null").select("subject").distinct().limit(1000).collect()]
@@ -195,6 +227,7 @@ _SETS = """with l as (select * from (select *, row_number() over (partition by p
 
 QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p3_overlaps": p3_overlaps,
     "p5_found": p5_found, "p5_quantiles": p5_quantiles, "p5_days_added": p5_days_added, "p6_found": p6_found, "p6_members": p6_members, "p7_found": p7_found, "p7_leaders": p7_leaders,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_composition": p10_composition,
 }
 ORACLE = {
