@@ -26,10 +26,10 @@ def hot_keys(df: DataFrame, keys: Sequence[str], *, share: float = 0.01, limit:
     """
     if not 0 < share <= 1:
         raise ValueError("share must be in (0, 1]")
-    (n, t) = fresh(df, "rows", "total")
+    (n,) = fresh(df, "rows")
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
-    total = df.agg(F.count(F.lit(1)).alias(t))  # one row
-    return per.crossJoin(F.broadcast(total)).where(F.col(n) >= F.col(t) * share).orderBy(F.desc(n), *keys).limit(limit).select(*keys, F.col(n).alias("n_rows"))
+    total = df.count()
+    return per.where(F.col(n) >= F.lit(total * share)).orderBy(F.desc(n), *keys).limit(limit).select(*keys, F.col(n).alias("n_rows"))
 
 
 def salted_aggregate(

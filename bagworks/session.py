@@ -48,17 +48,28 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+_TABLES: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Drops all tables that `materialize` wrote in this driver. Frames that read them can't be used any more."""
+    while _TABLES:
+        _drop(spark, _TABLES.pop())
+
+
 def materialize(df: DataFrame, *, sort: Iterable[str] = ()) -> DataFrame:
     """df, written once as a table in the shared folder and read back.
 
     It outlives lost executors, is read column by column and knows its row count from the footers. The table is dropped when the
-    driver ends.
+    driver ends, or by `drop_tables`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/bagworks-tables/{uuid.uuid4().hex}"
     sort = list(sort)
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    atexit.register(_drop, spark, path)
+    if not _TABLES:
+        atexit.register(drop_tables, spark)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
