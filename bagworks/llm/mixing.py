@@ -84,12 +84,12 @@ def shares_report(mixture: DataFrame, docs: DataFrame, targets: DataFrame) -> Da
     sources that gave nothing; shares are rounded to 6 places; `top_repeat` is how often its most used document stands there."""
     have = docs.groupBy(source_name("source").alias("source")).agg(F.sum("n_tokens").alias("available_tokens"))
     used = mixture.groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), (F.max("repeat") + 1).alias("top_repeat"))
-    used = materialize(used)
-    total = used.agg(F.sum("used_tokens").alias("all_tokens"))
+    used = materialize(used)  # a row a source
+    total = used.agg(F.sum("used_tokens")).first()[0] or 0
     t = targets.select(source_name("source").alias("source"), "target_share", "max_repeats").where("source is not null")
-    out = t.join(have, "source", "left").join(used, "source", "left").crossJoin(F.broadcast(total))  # total is one row
+    out = t.join(have, "source", "left").join(used, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return out.select(
         "source", "target_share", "max_repeats", zero(F.col("available_tokens")).alias("available_tokens"), zero(F.col("used_tokens")).alias("used_tokens"),
-        F.round(zero(F.col("used_tokens")) / F.greatest(F.coalesce("all_tokens", F.lit(0)), F.lit(1)), 6).alias("actual_share"), F.coalesce("top_repeat", F.lit(0)).cast("int").alias("top_repeat"),
+        F.round(zero(F.col("used_tokens")) / F.lit(max(total, 1)), 6).alias("actual_share"), F.coalesce("top_repeat", F.lit(0)).cast("int").alias("top_repeat"),
     )

@@ -13,14 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagworks.llm.arrays import changes
+from bagworks.llm.arrays import changes, sum_by_key
 from bagworks.session import checked_broadcast, materialize
 
 _MASK = np.uint64(0xFFFFFFFF)
 _STEP = 8  # bits a level
+#: Hash ranges are the values of so many leading bits; a task descends whole ranges of about so many rows at once, and hands pair counts
+#: on when it holds so many.
+_RANGE_BITS, _CHUNK, _PAIRS = 16, 1_000_000, 4_000_000
 
 
 def mix32(k: np.ndarray) -> np.ndarray:
@@ -108,9 +112,9 @@ def _node_pairs(counter: PairCounter, node: np.ndarray, sets: np.ndarray, size:
         d += 1
 
 
-def descend(mixed: np.ndarray, sets: np.ndarray, n_sets: int, counter: PairCounter, top_bits: int = 0) -> None:
+def descend(mixed: np.ndarray, sets: np.ndarray, n_sets: int, counter: PairCounter) -> None:
     """Counts, for each two sets, the values they share. (mixed, set) rows are distinct and sorted by (mixed, set)."""
-    depth = top_bits
+    depth = 0
     while len(mixed):
         depth = min(32, depth + _STEP)
         prefix = (mixed >> np.uint64(32 - depth)).astype(np.int64)
@@ -145,12 +149,11 @@ def set_overlaps(df: DataFrame, set_col: str, value_col: str, *, ranges: int | N
     """(set_a, set_b, shared, size_a, size_b): for each two sets with something in common, set_a < set_b, exact.
 
     Set ids are strings, compared without outer blanks and case; values lie in 0..2^32-1 (others raise an error). Null ids and
-    values don't count, repeated values count once; empty tables give no row. `ranges`: hash ranges, by default the session's
-    shuffle partitions.
+    values don't count, repeated values count once; empty tables give no row. `ranges`: tasks that the hash ranges are dealt to, by
+    default the session's shuffle partitions.
     """
     spark = df.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    top = min(24, max(1, ranges).bit_length() + 3)  # some ranges a task, so that hashing them to tasks is even
     rows = df.select(F.upper(F.trim(F.col(set_col).cast("string"), F.lit(" \t\r\n"))).alias("s"), F.col(value_col).cast("bigint").alias("k")).where("s is not null and k is not null")
     # repeats, even a value that fills a third of the table, are gone on the map side, before the hash ranges are dealt
     once = rows.distinct()
@@ -161,31 +164,63 @@ def set_overlaps(df: DataFrame, set_col: str, value_col: str, *, ranges: int | N
             if len(k) and (k.min() < 0 or k.max() > 0xFFFFFFFF):
                 raise ValueError("values must lie in 0..2^32-1")
             m = mix32(k).astype(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(m), pa.array((m >> (32 - top)).astype(np.int32))], names=["s", "m", "r"])
+            yield pa.record_batch([b.column(0), pa.array(m), pa.array((m >> (32 - _RANGE_BITS)).astype(np.int32))], names=["s", "m", "r"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, m = [], []
+        number: dict[str, int] = {}  # of each set met in this task
+        names: list[str] = []
+        sizes = np.zeros(0, np.int64)
+        key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def descended(rows: pa.Table) -> None:
+            nonlocal sizes, key, n
+            code = pc.dictionary_encode(rows.column("s").combine_chunks())
+            code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
+            local, ids = code.indices.to_numpy(zero_copy_only=False).astype(np.int64), code.dictionary.to_pylist()
+            mixed = rows.column("m").to_numpy().astype(np.uint64)
+            order = np.lexsort((local, mixed))
+            counter = PairCounter(len(ids))
+            descend(mixed[order], local[order], len(ids), counter)
+            a, b, c = counter.result()
+            for s in ids:
+                if s not in number:
+                    number[s] = len(names)
+                    names.append(s)
+            to = np.array([number[s] for s in ids], np.int64)
+            sizes = np.concatenate((sizes, np.zeros(len(names) - len(sizes), np.int64)))
+            sizes += np.bincount(to, weights=np.bincount(local, minlength=len(ids)), minlength=len(names)).astype(np.int64)
+            key, n = sum_by_key(np.concatenate((key, (to[a] << 32) | to[b])), np.concatenate((n, c)))
+
+        def told(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal key, n
+            ids = pa.array(names, pa.string())
+            for i in range(0, len(key), 1 << 16):
+                k = key[i : i + (1 << 16)]
+                yield pa.record_batch([ids.take(pa.array(k >> 32)), ids.take(pa.array(k & 0xFFFFFFFF)), pa.array(n[i : i + (1 << 16)], pa.int64())], names=["x", "y", "n"])
+            key, n = key[:0], n[:0]
+            if last and names:
+                yield pa.record_batch([ids, pa.nulls(len(names), pa.string()), pa.array(sizes, pa.int64())], names=["x", "y", "n"])
+
+        held, size = [], 0
         for b in batches:
-            names.append(b.column(0))
-            m.append(b.column(1).to_numpy(zero_copy_only=False))
-        if not names or not sum(map(len, m)):
-            return
-        code = pa.chunked_array(names).dictionary_encode().combine_chunks()
-        code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
-        sets, ids = code.indices.to_numpy(zero_copy_only=False).astype(np.int64), code.dictionary
-        mixed = np.concatenate(m).astype(np.uint64)
-        order = np.lexsort((sets, mixed))
-        mixed, sets = mixed[order], sets[order]
-        counter = PairCounter(len(ids))
-        descend(mixed, sets, len(ids), counter)
-        a, b, n = counter.result()
-        size = np.bincount(sets, minlength=len(ids))
-        yield pa.record_batch([ids, pa.nulls(len(ids), pa.string()), pa.array(size, pa.int64())], names=["x", "y", "n"])
-        for i in range(0, len(a), 1 << 16):
-            x, y = ids.take(pa.array(a[i : i + (1 << 16)])), ids.take(pa.array(b[i : i + (1 << 16)]))
-            yield pa.record_batch([x, y, pa.array(n[i : i + (1 << 16)], pa.int64())], names=["x", "y", "n"])
-
-    dealt = once.mapInArrow(mixed_of, "s string, m bigint, r int").repartition(ranges, "r").select("s", "m")
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size < _CHUNK:
+                continue
+            rows = pa.Table.from_batches(held)
+            r = rows.column("r").to_numpy()
+            cut = int(np.flatnonzero(changes(r))[-1])  # the last range may go on
+            if cut:
+                descended(rows.slice(0, cut))
+                held, size = rows.slice(cut).to_batches(), rows.num_rows - cut
+            if len(key) > _PAIRS:
+                yield from told(False)
+        if size:
+            descended(pa.Table.from_batches(held))
+        yield from told(True)
+
+    dealt = once.mapInArrow(mixed_of, "s string, m bigint, r int").repartition(ranges, "r").sortWithinPartitions("r")
     part = dealt.mapInArrow(count, "x string, y string, n bigint")
     sums = materialize(part.groupBy(F.least("x", "y").alias("set_a"), F.when(F.col("y").isNotNull(), F.greatest("x", "y")).alias("set_b")).agg(F.sum("n").alias("n")))
     size = checked_broadcast(sums.where("set_b is null").select(F.col("set_a").alias("s"), F.col("n").alias("size")))

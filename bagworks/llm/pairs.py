@@ -25,8 +25,8 @@ from bagworks.session import materialize
 DICTIONARY_ROWS = 2_000_000
 #: Items in an item block, and records in a record block, of one owner, about.
 ITEM_BLOCK, RECORD_BLOCK = 1024, 4_000_000
-#: A task folds its pair instances into counts whenever it holds so many.
-FOLD = 2_000_000
+#: A task folds its pair instances into counts whenever it holds so many, and hands counts on when it holds so many of them.
+FOLD, HELD = 2_000_000, 8_000_000
 
 
 def _kept(base: DataFrame, min_support: int, min_lift: float) -> tuple[DataFrame, DataFrame]:
@@ -176,6 +176,9 @@ def pair_counts(base: DataFrame, min_support: int = 1, min_lift: float = 0.0, *,
                     held += len(a)
                     if held > FOLD:
                         fold()
+                        if len(key) > HELD:  # from here on the block's counts are parts
+                            split = True
+                            yield from done()
         if now is not None:
             yield from done()
 
@@ -183,7 +186,5 @@ def pair_counts(base: DataFrame, min_support: int = 1, min_lift: float = 0.0, *,
     sums = placed.mapInArrow(gram, "owner int, item_a int, item_b int, c_ab bigint").groupBy("owner", "item_a", "item_b").agg(F.sum("c_ab").alias("c_ab")).where(F.col("c_ab") >= min_support)
     a = kept.select("owner", F.col("item").alias("item_a"), F.col("c").alias("c_a"), "n")
     b = kept.select("owner", F.col("item").alias("item_b"), F.col("c").alias("c_b"))
-    if few:
-        a, b = F.broadcast(a), F.broadcast(b)
     out = sums.join(a, ["owner", "item_a"]).join(b, ["owner", "item_b"]).select("owner", "item_a", "item_b", "c_ab", "c_a", "c_b", "n")
     return out.where(F.col("c_ab") * F.col("n") >= F.lit(float(min_lift)) * F.col("c_a") * F.col("c_b")) if min_lift > 0 else out

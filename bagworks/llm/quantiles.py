@@ -122,10 +122,12 @@ def summarize(df: DataFrame, keys: Sequence[str], value: str, *, size: int = SIZ
     return rows.mapInPandas(build, schema)
 
 
-def merge_summaries(summaries: DataFrame, keys: Sequence[str], *, size: int = SIZE, fan: int = FAN, lanes: int = 8) -> DataFrame:
-    """Summaries of the same keys as one. The parts of a key meet in `lanes` tasks first, so a key that is met in every partition
-    of a large table is merged by a tree, not in one task. Buffers of a level are collapsed together, as in one summary."""
+def merge_summaries(summaries: DataFrame, keys: Sequence[str], *, size: int = SIZE, fan: int = FAN, lanes: int | None = None) -> DataFrame:
+    """Summaries of the same keys as one. The parts of a key meet in `lanes` tasks first (by default a quarter of the session's
+    shuffle partitions, 4 to 256), so a key that is met in every partition of a large table is merged by a tree, not in one task.
+    Buffers of a level are collapsed together, as in one summary."""
     keys = list(keys)
+    lanes = lanes or min(256, max(4, int(summaries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
     schema = _schema(summaries, keys)
 
     def merge(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
