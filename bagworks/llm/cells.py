@@ -5,17 +5,40 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pyarrow as pa
+import numpy as np
 import xxhash
 
+from bagworks.llm.arrays import mix64
+
 WORD = re.compile(r"[^\W\d]\w+")
 _U = re.compile(r"\\u([0-9a-fA-F]{4})")
+#: Runs of characters without blanks that are encoded data, not words.
+BLOB = re.compile(r"[A-Za-z0-9+/=]{64,}")
 _REGION = {"markdown": "m", "code": "c", "output": "o"}
 
 
+#: What the three written forms put around a cell's source: execution marks, cell separators and comment signs, and the json keys.
+_MARK = re.compile(r"\A\s*(?:(?:In|Out) ?\[[^\]\n]*\]:|# ?%%[^\n]*)\s*")
+_SOURCE = re.compile(r'"source"\s*:\s*"(.*)"\s*\}?\s*,?\s*\Z', re.DOTALL)
+
+
+def _plain(s: str, region: str, fmt: str | None) -> str:
+    if fmt == "json":
+        if m := _SOURCE.search(s):
+            s = m[1]
+        s = s.replace("\\n", "\n").replace('\\"', '"')
+        return _U.sub(lambda m: chr(int(m[1], 16)), s) if "\\u" in s else s
+    s = _MARK.sub("", s)
+    if fmt == "percent" and region == "m":
+        s = re.sub(r"(?m)^# ?", "", s)
+    elif fmt == "percent" and region == "o":
+        s = s.strip().removeprefix('"""').removesuffix('"""')
+    return s
+
+
 def cells_of(text: str | None, cells: list | None, fmt: str | None) -> Iterator[tuple[str, str]]:
-    """(region, text) of each cell; a text without cells is one cell of prose; a null or empty one has none. Escapes of the json
-    form are undone, so that the same cell reads the same in every form."""
+    """(region, source) of each cell; a text without cells is one cell of prose; a null or empty one has none. What a form puts
+    around a source, execution marks too, is taken off, so the same cell reads the same in every form and place."""
     if not text:
         return
     if not cells:
@@ -24,12 +47,8 @@ def cells_of(text: str | None, cells: list | None, fmt: str | None) -> Iterator[
     for c in cells:
         if c is None or c["char_start"] is None or c["char_len"] is None:
             continue
-        s = text[c["char_start"] : c["char_start"] + c["char_len"]]
-        if fmt == "json":
-            s = s.replace("\\n", "\n").replace('\\"', '"')
-            if "\\u" in s:
-                s = _U.sub(lambda m: chr(int(m[1], 16)), s)
-        yield _REGION.get(c["cell_type"], "m"), s
+        region = _REGION.get(c["cell_type"], "m")
+        yield region, _plain(text[c["char_start"] : c["char_start"] + c["char_len"]], region, fmt)
 
 
 def fingerprint(cell: str) -> int:
@@ -37,5 +56,31 @@ def fingerprint(cell: str) -> int:
     return xxhash.xxh64_intdigest(" ".join(cell.split()).lower().encode("utf-8", "surrogatepass")) - 2**63
 
 
-def documents(batch: pa.RecordBatch) -> Iterator[dict]:
-    yield from batch.to_pylist()
+def words(cell: str) -> set[str]:
+    """The distinct words and names of a cell, in lower case; encoded data has none."""
+    found = set(WORD.findall(BLOB.sub(" ", cell).lower()))
+    return found | {part for w in found if "_" in w for part in w.split("_") if len(part) > 2 and not part[0].isdigit()}
+
+
+#: Cells in a window: a copied block is told from cells that are alike by chance by so many in a row.
+WINDOW = 3
+
+
+def windows(cells: list[str]) -> np.ndarray:
+    """64-bit hashes of every WINDOW cells in a row, as signed integers; fewer cells have no window."""
+    f = np.array([fingerprint(s) for s in cells], np.int64)
+    if len(f) < WINDOW:
+        return f[:0]
+    h = np.zeros(len(f) - WINDOW + 1, np.uint64)
+    for i in range(WINDOW):
+        h = mix64(h ^ f[i : len(f) - WINDOW + 1 + i].view(np.uint64))
+    return h.view(np.int64)
+
+
+def in_copied_block(cells: list[str], copied) -> np.ndarray:
+    """For each cell, whether a window over it is one of `copied`."""
+    out = np.zeros(len(cells), bool)
+    for i, h in enumerate(windows(cells).tolist()):
+        if h in copied:
+            out[i : i + WINDOW] = True
+    return out

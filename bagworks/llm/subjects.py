@@ -1,15 +1,17 @@
 """Subject areas of documents: classifier chains decoded by beam search.
 
-1. Cells that occur in several different documents are copied blocks: their texts' hashes are counted over all documents, whole
-   copies of a document counting once.
-2. From labelled documents (at most `train_docs`, the lowest by hash) the subject's terms are learned: words, column names and
-   values that go with one subject wherever they stand, outside copied cells.
-3. A document's features are, for each subject, how many distinct terms of it stand in prose, code, outputs and copied cells, its
+1. Runs of cells that occur in several different documents are copied blocks: the hashes of all windows of some cells in a row are
+   counted over all documents, whole copies of a document counting once.
+2. From labelled documents (at most `train_docs`, the lowest by hash) the subjects' terms are learned: words, column names and
+   values that go with one subject wherever they stand, outside copied blocks. Over all documents, those that hold several terms of
+   a subject then lend their subjects to the words that keep company with them, so languages and spellings that few labelled
+   documents have are known too.
+3. A document's features are, for each subject, how many distinct terms of it stand in prose, code, outputs and copied blocks, its
    source and its structure.
 4. A chain of logistic classifiers, one a subject, each of which sees the labels before it, gives the probability of a label
    combination; its scale is calibrated on held-out documents. Beam search finds the most probable combination.
 
-Only the model (bounded by `train_docs` and `max_terms`) is sent to the tasks; the copied cells' hashes are sent up to
+Only the model (bounded by `train_docs` and `max_terms`) is sent to the tasks; the copied windows' hashes are sent up to
 `copied_rows`, and beyond that joined.
 """
 
@@ -24,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagworks.llm.cells import WORD, cells_of, fingerprint
+from bagworks.llm.arrays import column
+from bagworks.llm.cells import cells_of, fingerprint, in_copied_block, windows, words
 from bagworks.operators.skew import salted_join
-from bagworks.session import checked_broadcast, materialize
+from bagworks.session import materialize
 
-#: Labelled documents and terms that the model is fitted on; different documents from which on a cell is a copied block.
+#: Labelled documents and terms that the model is fitted on; different documents from which on a window is copied.
 TRAIN_DOCS, MAX_TERMS, COPIES = 20_000, 20_000, 4
-#: Copied cells whose hashes are sent to every task (8 bytes each).
-COPIED_ROWS = 2_000_000
+#: Copied windows whose hashes are sent to every task (8 bytes each).
+COPIED_ROWS = 500_000
 BEAM = 8
 
 _REGIONS = {"m": 0, "c": 1, "o": 2}
@@ -43,20 +46,20 @@ def clean_source(s: str | None) -> str:
     return "-".join((s or "").lower().replace("_", " ").replace("-", " ").split())
 
 
-def copied_cells(docs: DataFrame, copies: int = COPIES) -> DataFrame:
-    """(h, docs): hashes of the cell texts that at least `copies` different documents hold."""
+def copied_windows(docs: DataFrame, copies: int = COPIES) -> DataFrame:
+    """(h, docs): hashes of the windows of cells that at least `copies` different documents hold."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, cls = [], []
             for d in b.to_pylist():
-                own = {fingerprint(s) for _, s in cells_of(d["text"], d["cells"], d["fmt"])}
+                own = set(windows([s for _, s in cells_of(d["text"], d["cells"], d["fmt"])]).tolist())
                 h.extend(own)
                 cls.extend([fingerprint(d["text"] or "")] * len(own))
             yield pa.record_batch([pa.array(h, pa.int64()), pa.array(cls, pa.int64())], names=["h", "cls"])
 
     rows = docs.select("text", "fmt", "cells").where("length(text) > 0").mapInArrow(hashes, "h bigint, cls bigint")
-    # both stages combine on the map side, so a cell that a third of all documents hold is counted in parts
+    # both stages combine on the map side, so a window that a third of all documents hold is counted in parts
     return rows.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= copies)
 
 
@@ -73,7 +76,7 @@ class Chain:
 
     # features
     def shared(self, counts: np.ndarray, source: np.ndarray, shape: np.ndarray) -> np.ndarray:
-        """counts: (docs, subjects, 5): distinct terms in own cells, then in own prose, code and outputs, then in copied cells."""
+        """counts: (docs, subjects, 5): distinct terms in own cells, then in own prose, code and outputs, then in copied blocks."""
         hot = np.zeros((len(source), len(self.sources) + 1))
         hot[np.arange(len(source)), source] = 1
         return np.hstack([hot, np.log1p(shape)])
@@ -132,11 +135,17 @@ class Chain:
 
     def _fit(self, counts, source, shape, y, l2) -> None:
         shared = self.shared(counts, source, shape)
+        # all subjects share how evidence counts; each link departs from that as far as its own documents ask for
+        x = np.concatenate([np.hstack([self.own(counts, s), np.ones((len(y), 1))]) for s in self.order])
+        pooled = _logistic(x, np.concatenate([y[:, s] for s in self.order]), l2)
         self.weights = []
         for place, s in enumerate(self.order):
             before = np.zeros_like(y)
             before[:, self.order[:place]] = y[:, self.order[:place]]
-            self.weights.append(_logistic(self.features(counts, shared, s, before), y[:, s], l2))
+            x = self.features(counts, shared, s, before)
+            prior = np.zeros(x.shape[1])
+            prior[: len(pooled) - 1], prior[-1] = pooled[:-1], pooled[-1]
+            self.weights.append(_logistic(x, y[:, s], 4 * l2, prior))
 
     def _teacher(self, counts, source, shape, y):
         shared, x, t = self.shared(counts, source, shape), [], []
@@ -148,16 +157,18 @@ class Chain:
         return np.concatenate(x), np.concatenate(t)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 40) -> np.ndarray:
-    """Ridge logistic regression by damped Newton steps; the last column is the intercept and isn't shrunk."""
-    w = np.zeros(x.shape[1])
+def _logistic(x: np.ndarray, y: np.ndarray, l2: float, prior: np.ndarray | None = None, steps: int = 40) -> np.ndarray:
+    """Logistic regression shrunk to `prior` by damped Newton steps; the last column is the intercept, shrunk only with a prior."""
+    mid = np.zeros(x.shape[1]) if prior is None else prior
+    w = mid.copy()
     ridge = np.full(x.shape[1], l2)
-    ridge[-1] = 1e-6
-    loss = lambda v: np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ v)).sum() + 0.5 * (ridge * v * v).sum()
+    if prior is None:
+        ridge[-1] = 1e-6
+    loss = lambda v: np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ v)).sum() + 0.5 * (ridge * (v - mid) ** 2).sum()
     now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
+        g = x.T @ (p - y) + ridge * (w - mid)
         h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge + 1e-9)
         step, t = np.linalg.solve(h, g), 1.0
         while t > 1e-4 and (new := loss(w - t * step)) > now:
@@ -170,34 +181,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 40) -> np.nd
     return w
 
 
-def _hits(d: dict, terms: dict[str, int]) -> tuple[list, list, list]:
-    """(cell hash, region, term) of every known term of a document, once a cell."""
-    h, r, t = [], [], []
-    for region, s in cells_of(d["text"], d["cells"], d["fmt"]):
-        met = {w for w in WORD.findall(s.lower()) if w in terms}
-        if met:
-            h.extend([fingerprint(s)] * len(met))
-            r.extend([region] * len(met))
-            t.extend(sorted(met))
-    return h, r, t
-
-
-def _counts(hits, copied: set | frozenset | np.ndarray, terms: dict[str, int], k: int) -> np.ndarray:
+def _hits(d: dict, terms: dict[str, int], copied) -> list[tuple[str, bool, set[str]]]:
+    """(region, in a copied block, known terms) of every cell that has any."""
+    cells = list(cells_of(d["text"], d["cells"], d["fmt"]))
+    met = [words(s) & terms.keys() for _, s in cells]
+    if not any(met):
+        return []
+    block = in_copied_block([s for _, s in cells], copied)
+    return [(r, bool(c), t) for (r, _), c, t in zip(cells, block, met) if t]
+
+
+def _counts(hits, terms: dict[str, int], k: int) -> np.ndarray:
+    """(subjects, 5): distinct terms in own cells, in own prose, code and outputs, and in copied blocks."""
+    sets: list[set[str]] = [set() for _ in range(5)]
+    for region, copied, t in hits:
+        if copied:
+            sets[4] |= t
+        else:
+            sets[0] |= t
+            sets[1 + _REGIONS[region]] |= t
     out = np.zeros((k, 5), np.int32)
-    seen = set()
-    for h, r, t in zip(*hits):
-        s = terms[t]
-        if h in copied:
-            if ("k", t) not in seen:
-                seen.add(("k", t))
-                out[s, 4] += 1
-            continue
-        if t not in seen:
-            seen.add(t)
-            out[s, 0] += 1
-        if (r, t) not in seen:
-            seen.add((r, t))
-            out[s, 1 + _REGIONS[r]] += 1
+    for i, met in enumerate(sets):
+        for t in met:
+            out[terms[t], i] += 1
     return out
 
 
@@ -207,37 +213,71 @@ def _shape(d: dict) -> list[float]:
 
 
 def _features(d: dict, model: Chain, copied) -> tuple[np.ndarray, int, list[float]] | None:
-    hits = _hits(d, model.terms)
-    if not hits[0]:
+    hits = _hits(d, model.terms, copied)
+    if not hits:
         return None
     src = clean_source(d["source"])
-    return _counts(hits, copied, model.terms, len(model.subjects)), model.sources.index(src) if src in model.sources else len(model.sources), _shape(d)
+    return _counts(hits, model.terms, len(model.subjects)), model.sources.index(src) if src in model.sources else len(model.sources), _shape(d)
 
 
-def _learn_terms(labelled: DataFrame, copied: DataFrame, subjects: list[str], min_docs: int, purity: float, max_terms: int) -> dict[str, int]:
-    """term -> subject: terms of at least `min_docs` labelled documents, outside copied cells, of which more than `purity` have it."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, i, t, y = [], [], [], []
-            for d in b.to_pylist():
-                for _, s in cells_of(d["text"], d["cells"], d["fmt"]):
-                    h.append(fingerprint(s)), i.append(d["doc_id"]), t.append(sorted(set(WORD.findall(s.lower())))), y.append(d["subjects"])
-            yield pa.record_batch([pa.array(h, pa.int64()), pa.array(i, pa.int64()), pa.array(t, pa.list_(pa.string())), pa.array(y, pa.list_(pa.string()))], names=["h", "doc_id", "terms", "subjects"])
-
-    rows = labelled.mapInArrow(words, "h bigint, doc_id bigint, terms array<string>, subjects array<string>").join(checked_broadcast(copied.select("h")), "h", "left_anti")
-    one = rows.select("doc_id", "subjects", F.explode("terms").alias("term")).dropDuplicates(["doc_id", "term"])
-    share = F.explode(F.when(F.size("subjects") > 0, F.col("subjects")).otherwise(F.array(F.lit("")))).alias("subject")
-    per = one.select("term", share, (1 / F.greatest(F.size("subjects"), F.lit(1))).alias("w")).groupBy("term", "subject").agg(F.sum("w").alias("w"))
+def _pure_terms(weights: DataFrame, subjects: list[str], min_docs: int, purity: float, max_terms: int) -> dict[str, int]:
+    """term -> subject of (term, subject, w) rows: terms of at least `min_docs` documents of which more than `purity` have the subject."""
+    per = weights.groupBy("term", "subject").agg(F.sum("w").alias("w"))
     best = per.groupBy("term").agg(F.sum("w").alias("n"), F.max(F.struct(F.col("w"), F.col("subject"))).alias("b"))
-    best = best.where((F.col("n") >= min_docs - 1e-9) & (F.col("b.w") > F.col("n") * purity) & (F.col("b.subject") != ""))
-    top = best.orderBy(F.desc("n"), "term").limit(max_terms).select("term", "b.subject").collect()
+    best = best.where((F.col("n") >= min_docs - 1e-6) & (F.col("b.w") > F.col("n") * purity) & (F.col("b.subject") != ""))
     at = {s: i for i, s in enumerate(subjects)}
+    top = best.orderBy(F.desc("n"), "term").limit(max_terms).select("term", "b.subject").collect()
     return {r[0]: at[r[1]] for r in top if r[1] in at}
 
 
-def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], *, train_docs: int = TRAIN_DOCS, max_terms: int = MAX_TERMS, copies: int = COPIES, min_docs: int = 3, purity: float = 0.5, copied_rows: int = COPIED_ROWS, exclude: DataFrame | None = None) -> DataFrame:
-    """(doc_id, subject, log_prob): the subjects of each document; none give no row.
+def _term_weights(docs: DataFrame, copied_of, subjects_of) -> DataFrame:
+    """(term, subject, w): each document gives each of its distinct words outside copied blocks one count, split evenly over its
+    subjects, '' where it has none; null from `subjects_of(document, words)` leaves it out. Added up in the task first."""
+
+    def emit(held: dict) -> pa.RecordBatch:
+        t, s = zip(*held) if held else ((), ())
+        return pa.record_batch([pa.array(t, pa.string()), pa.array(s, pa.string()), pa.array(held.values(), pa.float64())], names=["term", "subject", "w"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], float] = {}
+        for b in batches:
+            for d in b.to_pylist():
+                copied = copied_of(d)
+                cells = [s for _, s in cells_of(d["text"], d["cells"], d["fmt"])]
+                own = set()
+                for s, c in zip(cells, in_copied_block(cells, copied)):
+                    if not c:
+                        own |= words(s)
+                labels = subjects_of(d, own)
+                if labels is None:
+                    continue
+                labels = labels or [""]
+                for w in own:
+                    if len(w) <= 40:
+                        for x in labels:
+                            held[w, x] = held.get((w, x), 0.0) + 1 / len(labels)
+            if len(held) > 300_000:
+                yield emit(held)
+                held = {}
+        yield emit(held)
+
+    return docs.mapInArrow(count, "term string, subject string, w double")
+
+
+def _by_company(seed, subjects: list[str], company: int):
+    """Subjects of which a document holds `company` known terms and half of all that it knows, or twice as many and a quarter; without
+    any it is left out."""
+
+    def of(d: dict, own: set) -> list[str] | None:
+        n = Counter(seed.value[w] for w in own if w in seed.value)
+        return [subjects[i] for i, k in sorted(n.items()) if k >= company and 2 * k >= n.total() or k >= 2 * company and 4 * k >= n.total()] or None
+
+    return of
+
+
+def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], *, train_docs: int = TRAIN_DOCS, max_terms: int = MAX_TERMS, copies: int = COPIES, min_docs: int = 3, purity: float = 0.5, company: int = 2, rounds: int = 2, copied_rows: int = COPIED_ROWS, exclude: DataFrame | None = None) -> DataFrame:
+    """(doc_id, subject, log_prob): the subjects of each document; none give no row. `rounds` 0 learns terms from labelled
+    documents only.
 
     docs: doc_id, text, source, fmt, cells, others are ignored; labels: (doc_id, subject), null for a document about none;
     `subjects` is the fixed list of names. Null or empty texts have no subject. `exclude` (doc_id) keeps labelled documents out of
@@ -246,7 +286,7 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], *,
     spark = docs.sparkSession
     subjects = sorted(subjects)
     docs = docs.select(*_DOC)
-    copied = materialize(copied_cells(docs, copies))
+    copied = materialize(copied_windows(docs, copies))
     few = copied.limit(copied_rows + 1).count() <= copied_rows
 
     lab = labels.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
@@ -255,22 +295,8 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], *,
     lab = materialize(lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))
     labelled = materialize(docs.join(F.broadcast(lab), "doc_id"))  # at most train_docs documents
     model = Chain(subjects)
-    model.terms = _learn_terms(labelled, copied, subjects, min_docs, purity, max_terms)
     model.sources = sorted({clean_source(r[0]) for r in labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(200).collect()})
 
-    if few:
-        sent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in copied.select("h").toLocalIterator()], np.int64)))
-    else:
-        sent = None
-
-    def of_batch(rows: list[dict], model: Chain, copied) -> tuple[list, tuple]:
-        kept, counts, source, shape = [], [], [], []
-        for d in rows:
-            if (f := _features(d, model, copied)) is not None:
-                kept.append(d), counts.append(f[0]), source.append(f[1]), shape.append(f[2])
-        k = len(model.subjects)
-        return kept, (np.array(counts).reshape(-1, k, 5), np.array(source, int), np.array(shape, float).reshape(-1, 4))
-
     class Sorted:
         def __init__(self, a):
             self.a = a
@@ -280,13 +306,13 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], *,
             return i < len(self.a) and self.a[i] == h
 
     def with_copied(df: DataFrame) -> DataFrame:
-        """Adds `own_copied`, the hashes of the document's copied cells, by a join, where there are too many to send."""
+        """Adds `own_copied`, the hashes of the document's copied windows, by a join, where there are too many to send."""
 
         def hashes(batches):
             for b in batches:
                 i, h = [], []
                 for d in b.to_pylist():
-                    own = set(_hits(d, model.terms)[0])
+                    own = set(windows([s for _, s in cells_of(d["text"], d["cells"], d["fmt"])]).tolist())
                     i.extend([d["doc_id"]] * len(own)), h.extend(own)
                 yield pa.record_batch([pa.array(i, pa.int64()), pa.array(h, pa.int64())], names=["doc_id", "h"])
 
@@ -294,12 +320,26 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], *,
         met = salted_join(df.select(*_DOC).mapInArrow(hashes, "doc_id bigint, h bigint"), copied.select("h"), ["h"], hot=hot, salt_on=["doc_id"])
         return df.join(met.groupBy("doc_id").agg(F.collect_list("h").alias("own_copied")), "doc_id", "left")
 
-    def of(d_rows: list[dict], model: Chain):
-        if sent is not None:
-            return of_batch(d_rows, model, Sorted(sent.value))
-        parts = [of_batch([d], model, frozenset(d["own_copied"] or ())) for d in d_rows]
-        kept = [d for p, _ in parts for d in p]
-        return kept, tuple(np.concatenate(x) for x in zip(*(f for _, f in parts))) if parts else ([], of_batch([], model, ())[1])
+    if few:
+        sent = spark.sparkContext.broadcast(np.sort(column(copied.select("h").toArrow(), "h")))
+        copied_of = lambda d: Sorted(sent.value)
+    else:
+        docs, labelled = with_copied(docs), with_copied(labelled)
+        copied_of = lambda d: frozenset(d["own_copied"] or ())
+
+    model.terms = _pure_terms(_term_weights(labelled, copied_of, lambda d, own: d["subjects"]), subjects, min_docs, purity, max_terms)
+    for _ in range(rounds if model.terms else 0):
+        seed = spark.sparkContext.broadcast(model.terms)
+        more = _pure_terms(_term_weights(docs, copied_of, _by_company(seed, subjects, company)), subjects, 2 * min_docs, (1 + purity) / 2, max_terms)
+        model.terms = more | model.terms
+
+    def of(rows: list[dict], model: Chain) -> tuple[list, tuple]:
+        kept, counts, source, shape = [], [], [], []
+        for d in rows:
+            if (f := _features(d, model, copied_of(d))) is not None:
+                kept.append(d), counts.append(f[0]), source.append(f[1]), shape.append(f[2])
+        k = len(model.subjects)
+        return kept, (np.array(counts).reshape(-1, k, 5), np.array(source, int), np.array(shape, float).reshape(-1, 4))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,8 +349,7 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], *,
                 pa.array(counts.reshape(len(kept), -1).tolist(), pa.list_(pa.int32())), pa.array(source, pa.int32()), pa.array(shape.tolist(), pa.list_(pa.float64())),
             ], names=["doc_id", "subjects", "counts", "source", "shape"])
 
-    source_rows = labelled if few else with_copied(labelled)
-    rows = sorted(source_rows.mapInArrow(train, "doc_id bigint, subjects array<string>, counts array<int>, source int, shape array<double>").collect())
+    rows = sorted(labelled.mapInArrow(train, "doc_id bigint, subjects array<string>, counts array<int>, source int, shape array<double>").collect())
     if rows:
         k = len(subjects)
         y = np.array([[float(s in r[1]) for s in subjects] for r in rows])
@@ -329,4 +368,4 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], *,
             at, s = np.nonzero(labels)
             yield pa.record_batch([pa.array([kept[i]["doc_id"] for i in at], pa.int64()), pa.array([m.subjects[j] for j in s], pa.string()), pa.array(score[at])], names=["doc_id", "subject", "log_prob"])
 
-    return (docs if few else with_copied(docs)).mapInArrow(label, "doc_id bigint, subject string, log_prob double")
+    return docs.mapInArrow(label, "doc_id bigint, subject string, log_prob double")
