@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +50,24 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a Spark context, so their Python needs no path of its own to it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_bagworks_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory(prefix="bagworks-code-") as tmp:
+        path = os.path.join(tmp, f"bagworks-{uuid.uuid4().hex[:8]}.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, files in os.walk(root):
+                for f in sorted(files):
+                    if f.endswith(".py"):
+                        full = os.path.join(folder, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        sc.addPyFile(path)
+    sc._bagworks_shipped = True
+
+
 _TABLES: list[str] = []
 
 
