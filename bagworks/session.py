@@ -51,21 +51,29 @@ def _drop(spark: SparkSession, path: str) -> None:
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a Spark context, so their Python needs no path of its own to it."""
+    """Sends this package to the executors, once a Spark context, so their Python needs no path of its own to it.
+
+    The archive lies in the shared folder for as long as the driver runs: executors that come later fetch it too.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_bagworks_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
+    name = f"bagworks-{uuid.uuid4().hex[:8]}.zip"
+    target = f"{shared_dir(spark).rstrip('/')}/bagworks-code/{name}"
     with tempfile.TemporaryDirectory(prefix="bagworks-code-") as tmp:
-        path = os.path.join(tmp, f"bagworks-{uuid.uuid4().hex[:8]}.zip")
-        with zipfile.ZipFile(path, "w") as z:
+        with zipfile.ZipFile(os.path.join(tmp, name), "w") as z:
             for folder, _, files in os.walk(root):
                 for f in sorted(files):
                     if f.endswith(".py"):
                         full = os.path.join(folder, f)
                         z.write(full, os.path.relpath(full, os.path.dirname(root)))
-        sc.addPyFile(path)
+        jvm = sc._jvm
+        to = jvm.org.apache.hadoop.fs.Path(target)
+        to.getFileSystem(sc._jsc.hadoopConfiguration()).copyFromLocalFile(jvm.org.apache.hadoop.fs.Path(os.path.join(tmp, name)), to)
+    sc.addPyFile(target)
     sc._bagworks_shipped = True
+    atexit.register(_drop, spark, target)
 
 
 _TABLES: list[str] = []
