@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from bagworks.llm.arrays import mix64
 
-WORD = re.compile(r"[^\W\d]\w+")
+WORD = re.compile(r"[^\W\d]\w{2,39}")
 _U = re.compile(r"\\u([0-9a-fA-F]{4})")
 #: Runs of characters without blanks that are encoded data, not words.
 BLOB = re.compile(r"[A-Za-z0-9+/=]{64,}")
@@ -36,19 +38,33 @@ def _plain(s: str, region: str, fmt: str | None) -> str:
     return s
 
 
-def cells_of(text: str | None, cells: list | None, fmt: str | None) -> Iterator[tuple[str, str]]:
+def spans_of(batch: pa.RecordBatch, name: str = "cells") -> list[list[tuple]]:
+    """(cell_type, char_start, char_len) of each row's cells; those without a place are left out, null rows have none."""
+    cells = batch.column(batch.schema.get_field_index(name))
+    flat = cells.flatten()
+    if not len(flat):
+        return [[] for _ in range(len(cells))]
+    kind, start, size = (flat.field(flat.type.get_field_index(c)).to_pylist() for c in ("cell_type", "char_start", "char_len"))
+    there = flat.is_valid().to_pylist()
+    ends = np.cumsum(np.nan_to_num(pc.list_value_length(cells).to_numpy(zero_copy_only=False).astype(float))).astype(int).tolist()
+    out, at = [], 0
+    for end in ends:
+        out.append([(kind[i], start[i], size[i]) for i in range(at, end) if there[i] and start[i] is not None and size[i] is not None])
+        at = end
+    return out
+
+
+def cells_of(text: str | None, spans: Sequence[tuple], fmt: str | None) -> Iterator[tuple[str, str]]:
     """(region, source) of each cell; a text without cells is one cell of prose; a null or empty one has none. What a form puts
     around a source, execution marks too, is taken off, so the same cell reads the same in every form and place."""
     if not text:
         return
-    if not cells:
+    if not spans:
         yield "m", text
         return
-    for c in cells:
-        if c is None or c["char_start"] is None or c["char_len"] is None:
-            continue
-        region = _REGION.get(c["cell_type"], "m")
-        yield region, _plain(text[c["char_start"] : c["char_start"] + c["char_len"]], region, fmt)
+    for kind, start, size in spans:
+        region = _REGION.get(kind, "m")
+        yield region, _plain(text[start : start + size], region, fmt)
 
 
 def fingerprint(cell: str) -> int:
@@ -66,7 +82,7 @@ def words(cell: str) -> set[str]:
 WINDOW = 3
 
 
-def windows(cells: list[str]) -> np.ndarray:
+def windows(cells: Sequence[str]) -> np.ndarray:
     """64-bit hashes of every WINDOW cells in a row, as signed integers; fewer cells have no window."""
     f = np.array([fingerprint(s) for s in cells], np.int64)
     if len(f) < WINDOW:
@@ -75,12 +91,3 @@ def windows(cells: list[str]) -> np.ndarray:
     for i in range(WINDOW):
         h = mix64(h ^ f[i : len(f) - WINDOW + 1 + i].view(np.uint64))
     return h.view(np.int64)
-
-
-def in_copied_block(cells: list[str], copied) -> np.ndarray:
-    """For each cell, whether a window over it is one of `copied`."""
-    out = np.zeros(len(cells), bool)
-    for i, h in enumerate(windows(cells).tolist()):
-        if h in copied:
-            out[i : i + WINDOW] = True
-    return out

@@ -17,17 +17,17 @@ Only the model (bounded by `train_docs` and `max_terms`) is sent to the tasks; t
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagworks.llm.arrays import column
-from bagworks.llm.cells import cells_of, fingerprint, in_copied_block, windows, words
+from bagworks.llm.arrays import column, lists
+from bagworks.llm.cells import WINDOW, cells_of, fingerprint, spans_of, windows, words
 from bagworks.operators.skew import salted_join
 from bagworks.session import materialize
 
@@ -46,21 +46,77 @@ def clean_source(s: str | None) -> str:
     return "-".join((s or "").lower().replace("_", " ").replace("-", " ").split())
 
 
-def copied_windows(docs: DataFrame, copies: int = COPIES) -> DataFrame:
-    """(h, docs): hashes of the windows of cells that at least `copies` different documents hold."""
+_DIGEST = "doc_id bigint, source string, cls bigint, shape array<double>, regions array<int>, wins array<bigint>, words array<string>, word_cell array<int>"
+
+
+def digest(docs: DataFrame) -> DataFrame:
+    """What the operator reads of each document, in one pass over its whole text: source, hash of the text, its cells' numbers by kind
+    and its length, its cells' regions, the hashes of its windows, and every cell's distinct words. Empty texts give no row."""
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, cls = [], []
-            for d in b.to_pylist():
-                own = set(windows([s for _, s in cells_of(d["text"], d["cells"], d["fmt"])]).tolist())
-                h.extend(own)
-                cls.extend([fingerprint(d["text"] or "")] * len(own))
-            yield pa.record_batch([pa.array(h, pa.int64()), pa.array(cls, pa.int64())], names=["h", "cls"])
-
-    rows = docs.select("text", "fmt", "cells").where("length(text) > 0").mapInArrow(hashes, "h bigint, cls bigint")
+            ids, texts, sources, forms = (b.column(i).to_pylist() for i in range(4))
+            rows = {c: [] for c in ("cls", "shape", "regions", "wins", "words", "word_cell")}
+            for text, fmt, spans in zip(texts, forms, spans_of(b)):
+                cells = list(cells_of(text, spans, fmt))
+                kinds = [_REGIONS[r] for r, _ in cells]
+                met = [(w, i) for i, (_, s) in enumerate(cells) for w in sorted(words(s))]
+                rows["cls"].append(fingerprint(text))
+                rows["shape"].append([float(kinds.count(k)) for k in range(3)] + [float(len(text))])
+                rows["regions"].append(kinds)
+                rows["wins"].append(windows([s for _, s in cells]))
+                rows["words"].append([w for w, _ in met])
+                rows["word_cell"].append([i for _, i in met])
+            types = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32())]
+            arrays = [pa.array(ids, pa.int64()), pa.array([clean_source(x) for x in sources], pa.string()), *[pa.array(v, t) for v, t in zip(rows.values(), types)]]
+            yield pa.record_batch(arrays, names=["doc_id", "source", *rows])
+
+    return docs.select(*_DOC).where("doc_id is not null and length(text) > 0").mapInArrow(read, _DIGEST)
+
+
+def copied_windows(read: DataFrame, copies: int = COPIES) -> DataFrame:
+    """(h, docs): hashes of the windows of cells that at least `copies` different documents hold."""
     # both stages combine on the map side, so a window that a third of all documents hold is counted in parts
-    return rows.distinct().groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= copies)
+    rows = read.select("cls", F.explode("wins").alias("h")).distinct()
+    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= copies)
+
+
+class Rows:
+    """A batch of the digest as flat arrays: for every word its document, region and whether it stands in a copied block."""
+
+    def __init__(self, b: pa.RecordBatch, copied: np.ndarray | None):
+        col = lambda c: b.column(b.schema.get_field_index(c))
+        self.n = b.num_rows
+        self.ids = column(b, "doc_id")
+        cell_off, regions = lists(col("regions"))
+        win_off, wins = lists(col("wins"))
+        word_off, _ = lists(col("word_cell"))
+        if copied is None:  # each document brings its copied windows along
+            copied = np.unique(col("own_copied").flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+        block = np.zeros(len(regions), bool)
+        first = np.repeat(cell_off[:-1] - win_off[:-1], np.diff(win_off)) + np.arange(len(wins))
+        hit = first[np.isin(wins, copied)]
+        for i in range(WINDOW):
+            block[hit + i] = True
+        self.words = col("words").flatten()
+        self.doc = np.repeat(np.arange(self.n), np.diff(word_off))
+        cell = cell_off[self.doc] + col("word_cell").flatten().to_numpy(zero_copy_only=False)
+        self.region, self.copied = regions[cell], block[cell]
+        self.shape = np.array(col("shape").flatten()).reshape(self.n, 4)
+        self.source = col("source").to_pylist()
+
+    def counts(self, terms: dict[str, int], k: int) -> np.ndarray:
+        """(documents, subjects, 5): distinct terms in own cells, in own prose, code and outputs, and in copied blocks."""
+        at = pc.index_in(self.words, value_set=pa.array(list(terms), pa.string())).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        subject = np.array(list(terms.values()), np.int64)
+        known = at >= 0
+        t, d, r, c = at[known], self.doc[known], self.region[known], self.copied[known]
+        slot = np.concatenate([np.where(c, 4, 0), 1 + r[~c]])
+        t, d = np.concatenate([t, t[~c]]), np.concatenate([d, d[~c]])
+        one = np.unique((d * 5 + slot) * max(len(terms), 1) + t)
+        ds, t = one // max(len(terms), 1), one % max(len(terms), 1)
+        flat = np.bincount((ds // 5 * k + subject[t]) * 5 + ds % 5, minlength=self.n * k * 5) if len(one) else np.zeros(self.n * k * 5, int)
+        return flat.reshape(self.n, k, 5)
 
 
 @dataclass
@@ -74,6 +130,10 @@ class Chain:
     order: list[int] = field(default_factory=list)
     scale: float = 1.0
 
+    def source_numbers(self, names: list[str]) -> np.ndarray:
+        at = {s: i for i, s in enumerate(self.sources)}
+        return np.array([at.get(x, len(at)) for x in names], int)
+
     # features
     def shared(self, counts: np.ndarray, source: np.ndarray, shape: np.ndarray) -> np.ndarray:
         """counts: (docs, subjects, 5): distinct terms in own cells, then in own prose, code and outputs, then in copied blocks."""
@@ -181,45 +241,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float, prior: np.ndarray | None
     return w
 
 
-def _hits(d: dict, terms: dict[str, int], copied) -> list[tuple[str, bool, set[str]]]:
-    """(region, in a copied block, known terms) of every cell that has any."""
-    cells = list(cells_of(d["text"], d["cells"], d["fmt"]))
-    met = [words(s) & terms.keys() for _, s in cells]
-    if not any(met):
-        return []
-    block = in_copied_block([s for _, s in cells], copied)
-    return [(r, bool(c), t) for (r, _), c, t in zip(cells, block, met) if t]
-
-
-def _counts(hits, terms: dict[str, int], k: int) -> np.ndarray:
-    """(subjects, 5): distinct terms in own cells, in own prose, code and outputs, and in copied blocks."""
-    sets: list[set[str]] = [set() for _ in range(5)]
-    for region, copied, t in hits:
-        if copied:
-            sets[4] |= t
-        else:
-            sets[0] |= t
-            sets[1 + _REGIONS[region]] |= t
-    out = np.zeros((k, 5), np.int32)
-    for i, met in enumerate(sets):
-        for t in met:
-            out[terms[t], i] += 1
-    return out
-
-
-def _shape(d: dict) -> list[float]:
-    n = Counter(c["cell_type"] for c in d["cells"] or [] if c)
-    return [n["markdown"], n["code"], n["output"], len(d["text"] or "")]
-
-
-def _features(d: dict, model: Chain, copied) -> tuple[np.ndarray, int, list[float]] | None:
-    hits = _hits(d, model.terms, copied)
-    if not hits:
-        return None
-    src = clean_source(d["source"])
-    return _counts(hits, model.terms, len(model.subjects)), model.sources.index(src) if src in model.sources else len(model.sources), _shape(d)
-
-
 def _pure_terms(weights: DataFrame, subjects: list[str], min_docs: int, purity: float, max_terms: int) -> dict[str, int]:
     """term -> subject of (term, subject, w) rows: terms of at least `min_docs` documents of which more than `purity` have the subject."""
     per = weights.groupBy("term", "subject").agg(F.sum("w").alias("w"))
@@ -230,47 +251,50 @@ def _pure_terms(weights: DataFrame, subjects: list[str], min_docs: int, purity:
     return {r[0]: at[r[1]] for r in top if r[1] in at}
 
 
-def _term_weights(docs: DataFrame, copied_of, subjects_of) -> DataFrame:
+def _term_weights(read: DataFrame, copied, subjects: list[str], labels_of) -> DataFrame:
     """(term, subject, w): each document gives each of its distinct words outside copied blocks one count, split evenly over its
-    subjects, '' where it has none; null from `subjects_of(document, words)` leaves it out. Added up in the task first."""
-
-    def emit(held: dict) -> pa.RecordBatch:
-        t, s = zip(*held) if held else ((), ())
-        return pa.record_batch([pa.array(t, pa.string()), pa.array(s, pa.string()), pa.array(held.values(), pa.float64())], names=["term", "subject", "w"])
+    subjects, '' where it has none. `labels_of(batch, rows)` gives (documents, subjects) of 0 and 1 and which documents count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], float] = {}
         for b in batches:
-            for d in b.to_pylist():
-                copied = copied_of(d)
-                cells = [s for _, s in cells_of(d["text"], d["cells"], d["fmt"])]
-                own = set()
-                for s, c in zip(cells, in_copied_block(cells, copied)):
-                    if not c:
-                        own |= words(s)
-                labels = subjects_of(d, own)
-                if labels is None:
-                    continue
-                labels = labels or [""]
-                for w in own:
-                    if len(w) <= 40:
-                        for x in labels:
-                            held[w, x] = held.get((w, x), 0.0) + 1 / len(labels)
-            if len(held) > 300_000:
-                yield emit(held)
-                held = {}
-        yield emit(held)
-
-    return docs.mapInArrow(count, "term string, subject string, w double")
-
-
-def _by_company(seed, subjects: list[str], company: int):
-    """Subjects of which a document holds `company` known terms and half of all that it knows, or twice as many and a quarter; without
-    any it is left out."""
-
-    def of(d: dict, own: set) -> list[str] | None:
-        n = Counter(seed.value[w] for w in own if w in seed.value)
-        return [subjects[i] for i, k in sorted(n.items()) if k >= company and 2 * k >= n.total() or k >= 2 * company and 4 * k >= n.total()] or None
+            if not b.num_rows:
+                continue
+            rows = Rows(b, copied())
+            y, use = labels_of(b, rows)
+            y = np.hstack([y, y.sum(axis=1, keepdims=True) == 0]).astype(float)
+            y /= y.sum(axis=1, keepdims=True)
+            own = ~rows.copied & use[rows.doc]
+            code = pc.dictionary_encode(rows.words.filter(pa.array(own)))
+            if not len(code):
+                continue
+            size = len(code.dictionary)
+            one = np.unique(rows.doc[own] * size + code.indices.to_numpy(zero_copy_only=False))
+            doc, word = one // size, one % size
+            for i, s in enumerate([*subjects, ""]):
+                w = np.bincount(word, weights=y[doc, i], minlength=size)
+                at = np.flatnonzero(w)
+                yield pa.record_batch([code.dictionary.take(pa.array(at)), pa.array([s] * len(at), pa.string()), pa.array(w[at])], names=["term", "subject", "w"])
+
+    return read.mapInArrow(count, "term string, subject string, w double")
+
+
+def _given(subjects: list[str]):
+    def of(b: pa.RecordBatch, rows: Rows):
+        given = b.column(b.schema.get_field_index("subjects")).to_pylist()
+        return np.array([[s in (g or ()) for s in subjects] for g in given]), np.ones(len(given), bool)
+
+    return of
+
+
+def _by_company(seed, k: int, company: int):
+    """Subjects of which a document holds `company` known terms and half of all that it knows, or twice as many and a quarter;
+    documents without any are left out."""
+
+    def of(b: pa.RecordBatch, rows: Rows):
+        n = rows.counts(seed.value, k)[:, :, 0]
+        total = n.sum(axis=1, keepdims=True)
+        y = (n >= company) & (2 * n >= total) | (n >= 2 * company) & (4 * n >= total)
+        return y, y.any(axis=1)
 
     return of
 
@@ -285,75 +309,51 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], *,
     """
     spark = docs.sparkSession
     subjects = sorted(subjects)
-    docs = docs.select(*_DOC)
-    copied = materialize(copied_windows(docs, copies))
-    few = copied.limit(copied_rows + 1).count() <= copied_rows
+    k = len(subjects)
+    read = materialize(digest(docs))
+    found = materialize(copied_windows(read, copies))
+    few = found.limit(copied_rows + 1).count() <= copied_rows
 
     lab = labels.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
     if exclude is not None:
         lab = lab.join(exclude.select("doc_id"), "doc_id", "left_anti")
     lab = materialize(lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))
-    labelled = materialize(docs.join(F.broadcast(lab), "doc_id"))  # at most train_docs documents
-    model = Chain(subjects)
-    model.sources = sorted({clean_source(r[0]) for r in labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(200).collect()})
-
-    class Sorted:
-        def __init__(self, a):
-            self.a = a
-
-        def __contains__(self, h):
-            i = self.a.searchsorted(h)
-            return i < len(self.a) and self.a[i] == h
-
-    def with_copied(df: DataFrame) -> DataFrame:
-        """Adds `own_copied`, the hashes of the document's copied windows, by a join, where there are too many to send."""
-
-        def hashes(batches):
-            for b in batches:
-                i, h = [], []
-                for d in b.to_pylist():
-                    own = set(windows([s for _, s in cells_of(d["text"], d["cells"], d["fmt"])]).tolist())
-                    i.extend([d["doc_id"]] * len(own)), h.extend(own)
-                yield pa.record_batch([pa.array(i, pa.int64()), pa.array(h, pa.int64())], names=["doc_id", "h"])
-
-        hot = copied.orderBy(F.desc("docs"), "h").limit(1000).select("h")
-        met = salted_join(df.select(*_DOC).mapInArrow(hashes, "doc_id bigint, h bigint"), copied.select("h"), ["h"], hot=hot, salt_on=["doc_id"])
-        return df.join(met.groupBy("doc_id").agg(F.collect_list("h").alias("own_copied")), "doc_id", "left")
 
     if few:
-        sent = spark.sparkContext.broadcast(np.sort(column(copied.select("h").toArrow(), "h")))
-        copied_of = lambda d: Sorted(sent.value)
-    else:
-        docs, labelled = with_copied(docs), with_copied(labelled)
-        copied_of = lambda d: frozenset(d["own_copied"] or ())
+        sent = spark.sparkContext.broadcast(np.sort(column(found.select("h").toArrow(), "h")))
+        copied = lambda: sent.value
+    else:  # too many to send: each document is given its own by a join
+        hot = found.orderBy(F.desc("docs"), "h").limit(1000).select("h")
+        met = salted_join(read.select("doc_id", F.explode("wins").alias("h")), found.select("h"), ["h"], hot=hot, salt_on=["doc_id"])
+        read = materialize(read.join(met.groupBy("doc_id").agg(F.collect_set("h").alias("own_copied")), "doc_id", "left"))
+        copied = lambda: None
+    labelled = materialize(read.join(F.broadcast(lab), "doc_id"))  # at most train_docs documents
 
-    model.terms = _pure_terms(_term_weights(labelled, copied_of, lambda d, own: d["subjects"]), subjects, min_docs, purity, max_terms)
+    model = Chain(subjects)
+    model.sources = [r[0] for r in labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(200).collect()]
+    model.terms = _pure_terms(_term_weights(labelled, copied, subjects, _given(subjects)), subjects, min_docs, purity, max_terms)
     for _ in range(rounds if model.terms else 0):
         seed = spark.sparkContext.broadcast(model.terms)
-        more = _pure_terms(_term_weights(docs, copied_of, _by_company(seed, subjects, company)), subjects, 2 * min_docs, (1 + purity) / 2, max_terms)
+        more = _pure_terms(_term_weights(read, copied, subjects, _by_company(seed, k, company)), subjects, 2 * min_docs, (1 + purity) / 2, max_terms)
         model.terms = more | model.terms
-
-    def of(rows: list[dict], model: Chain) -> tuple[list, tuple]:
-        kept, counts, source, shape = [], [], [], []
-        for d in rows:
-            if (f := _features(d, model, copied_of(d))) is not None:
-                kept.append(d), counts.append(f[0]), source.append(f[1]), shape.append(f[2])
-        k = len(model.subjects)
-        return kept, (np.array(counts).reshape(-1, k, 5), np.array(source, int), np.array(shape, float).reshape(-1, 4))
+    known = spark.sparkContext.broadcast(model.terms)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, (counts, source, shape) = of(b.to_pylist(), model)
-            yield pa.record_batch([
-                pa.array([d["doc_id"] for d in kept], pa.int64()), pa.array([d["subjects"] for d in kept], pa.list_(pa.string())),
-                pa.array(counts.reshape(len(kept), -1).tolist(), pa.list_(pa.int32())), pa.array(source, pa.int32()), pa.array(shape.tolist(), pa.list_(pa.float64())),
-            ], names=["doc_id", "subjects", "counts", "source", "shape"])
-
-    rows = sorted(labelled.mapInArrow(train, "doc_id bigint, subjects array<string>, counts array<int>, source int, shape array<double>").collect())
-    if rows:
-        k = len(subjects)
-        y = np.array([[float(s in r[1]) for s in subjects] for r in rows])
-        model.fit(np.array([r[2] for r in rows]).reshape(-1, k, 5), np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), y)
+            if b.num_rows:
+                rows = Rows(b, copied())
+                counts = rows.counts(known.value, k)
+                yield pa.record_batch([
+                    b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("subjects")),
+                    pa.array(counts.reshape(rows.n, -1).tolist(), pa.list_(pa.int32())), pa.array(rows.source, pa.string()), pa.array(rows.shape.tolist(), pa.list_(pa.float64())),
+                ], names=["doc_id", "subjects", "counts", "source", "shape"])
+
+    rows = sorted(labelled.mapInArrow(train, "doc_id bigint, subjects array<string>, counts array<int>, source string, shape array<double>").collect(), key=lambda r: r["doc_id"])
+    counts = np.array([r["counts"] for r in rows], int).reshape(-1, k, 5)
+    seen = counts.sum(axis=(1, 2)) > 0  # a document without any term has no subject and teaches nothing
+    if seen.any():
+        y = np.array([[float(s in r["subjects"]) for s in subjects] for r in rows])
+        model.fit(counts[seen], model.source_numbers([r["source"] for r in rows])[seen], np.array([r["shape"] for r in rows])[seen], y[seen])
     fitted = spark.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,11 +361,13 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], *,
         for b in batches:
             if not m.weights or not b.num_rows:
                 continue
-            kept, (counts, source, shape) = of(b.to_pylist(), m)
-            if not kept:
-                continue
-            labels, score = m.decode(counts, source, shape)
-            at, s = np.nonzero(labels)
-            yield pa.record_batch([pa.array([kept[i]["doc_id"] for i in at], pa.int64()), pa.array([m.subjects[j] for j in s], pa.string()), pa.array(score[at])], names=["doc_id", "subject", "log_prob"])
-
-    return docs.mapInArrow(label, "doc_id bigint, subject string, log_prob double")
+            rows = Rows(b, copied())
+            counts = rows.counts(m.terms, k)
+            some = np.flatnonzero(counts.sum(axis=(1, 2)) > 0)
+            for part in np.array_split(some, max(1, -(-len(some) // 2000))):
+                if len(part):
+                    labels, score = m.decode(counts[part], m.source_numbers([rows.source[i] for i in part]), rows.shape[part])
+                    at, s = np.nonzero(labels)
+                    yield pa.record_batch([pa.array(rows.ids[part[at]], pa.int64()), pa.array([subjects[j] for j in s], pa.string()), pa.array(score[at])], names=["doc_id", "subject", "log_prob"])
+
+    return read.mapInArrow(label, "doc_id bigint, subject string, log_prob double")
