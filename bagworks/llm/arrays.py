@@ -59,3 +59,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
     return x
+
+
+def slices(batches, rows: int = 256):
+    """Batches cut to pieces of a few rows, for stages that turn long texts into Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

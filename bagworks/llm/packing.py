@@ -44,36 +44,65 @@ class Capacity:
         return float(self.tokens) ** 2 if self.cost is None else float(self.cost)
 
 
-def best_fit(sizes: np.ndarray, cap: Capacity) -> np.ndarray:
-    """The container number of each item, in any order of items; sizes are at most cap.tokens."""
-    order = np.argsort(-sizes, kind="stable")
-    full = np.array([cap.tokens, cap.items, cap.most_cost], float)
-    w = np.asarray(cap.weights, float)
-    out = np.empty(len(sizes), np.int64)
-    resid, number = np.empty((64, 3)), np.empty(64, np.int64)
-    n_open, made = 0, 0
-    least = int(sizes.min()) if len(sizes) else 0
+def _place(sizes: np.ndarray, order: np.ndarray, out: np.ndarray, cap: Capacity, tokens: float, resid: np.ndarray) -> np.ndarray:
+    """Places the items of `order` into the bins whose residuals are the rows of `resid`, or into new ones of `tokens`; gives all residuals."""
+    full, w = np.array([tokens, cap.items, cap.most_cost], float), np.asarray(cap.weights, float)
+    unit = np.array([cap.tokens, cap.items, cap.most_cost], float)
+    made, n_open = len(resid), len(resid)
+    room = np.concatenate([resid, np.empty((64, 3))])  # of the open bins
+    number = np.concatenate([np.arange(made), np.empty(64, np.int64)])
+    ends = {}  # residuals of the bins that nothing more goes into
+    least = int(sizes[order].min()) if len(order) else 0
     for i in order:
         size = int(sizes[i])
         need = np.array([size, 1.0, float(size) ** 2])
-        open_ = resid[:n_open]
-        fits = np.flatnonzero((open_[:, 0] >= size) & (open_[:, 1] >= 1) & (open_[:, 2] >= need[2])) if n_open else ()
+        open_ = room[:n_open]
+        fits = np.flatnonzero((open_ >= need).all(axis=1))
         if len(fits):
-            r = open_[fits] / full
-            score = -(((r - need / full) ** 2) @ w) if cap.rule == "residual" else (r * (need / full)) @ w
+            r = open_[fits] / unit
+            score = -(((r - need / unit) ** 2) @ w) if cap.rule == "residual" else (r * (need / unit)) @ w
             at = fits[int(np.argmax(score))]
         else:
-            if n_open == len(resid):
-                resid, number = np.concatenate([resid, np.empty_like(resid)]), np.concatenate([number, np.empty_like(number)])
+            if n_open == len(room):
+                room, number = np.concatenate([room, np.empty_like(room)]), np.concatenate([number, np.empty_like(number)])
             at = n_open
-            resid[at], number[at] = full, made
+            room[at], number[at] = full, made
             n_open, made = n_open + 1, made + 1
-        resid[at] -= need
+        room[at] -= need
         out[i] = number[at]
-        if resid[at, 0] < least or resid[at, 1] < 1 or resid[at, 2] <= 0 and size:  # nothing more goes in
+        if room[at, 0] < least or room[at, 1] < 1 or room[at, 2] <= 0 and size:
+            ends[int(number[at])] = room[at].copy()
             n_open -= 1
-            resid[at], number[at] = resid[n_open], number[n_open]
-    return out
+            room[at], number[at] = room[n_open], number[n_open]
+    left = np.empty((made, 3))
+    left[number[:n_open].astype(np.int64)] = room[:n_open]
+    for k, r in ends.items():
+        left[k] = r
+    return left
+
+
+def best_fit(sizes: np.ndarray, cap: Capacity) -> np.ndarray:
+    """The container number of each item, in any order of items; sizes are at most cap.tokens.
+
+    Items go by falling size. Where that takes more containers than the scarcest resource asks for, the small items, which take more of
+    the places than of the tokens, have run out of places: then the large ones are placed into containers that hold the small
+    ones' even share of tokens back, the small ones fill that, smallest first, and the better result holds.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    out = np.empty(len(sizes), np.int64)
+    bins = len(_place(sizes, order, out, cap, cap.tokens, np.empty((0, 3))))
+    fewest = max(-(-int(sizes.sum()) // cap.tokens), -(-len(sizes) // cap.items))
+    small = sizes[order] * cap.items <= cap.tokens
+    if bins <= 1.01 * fewest + 1 or not small.any() or small.all():
+        return out
+    back = sizes[order[small]].sum() / fewest
+    other, large = np.empty_like(out), order[~small]
+    alone = sizes[large] > cap.tokens - back
+    left = _place(sizes, large[alone], other, cap, cap.tokens, np.empty((0, 3)))
+    rest = _place(sizes, large[~alone], shifted := np.empty_like(out), cap, cap.tokens - back, np.empty((0, 3)))
+    other[large[~alone]] = shifted[large[~alone]] + len(left)
+    rest[:, 0] += back
+    return other if len(_place(sizes, order[small][::-1], other, cap, cap.tokens, np.concatenate([left, rest]))) < bins else out
 
 
 _OUT = "id bigint, piece int, n_tokens bigint, level int, shard bigint, bin int, kept boolean"

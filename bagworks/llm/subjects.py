@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagworks.llm.arrays import column, lists
+from bagworks.llm.arrays import column, lists, slices
 from bagworks.llm.cells import WINDOW, cells_of, fingerprint, spans_of, windows, words
 from bagworks.operators.skew import salted_join
 from bagworks.session import materialize
@@ -54,7 +54,7 @@ def digest(docs: DataFrame) -> DataFrame:
     and its length, its cells' regions, the hashes of its windows, and every cell's distinct words. Empty texts give no row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, texts, sources, forms = (b.column(i).to_pylist() for i in range(4))
             rows = {c: [] for c in ("cls", "shape", "regions", "wins", "words", "word_cell")}
             for text, fmt, spans in zip(texts, forms, spans_of(b)):

@@ -9,6 +9,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from bagworks.llm.arrays import slices
+
 #: Default vocabulary file; a parameter of every operator that counts tokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the vocabulary's pre-tokenization pattern.
@@ -30,7 +32,7 @@ def count_tokens(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.record_batch([*b.columns[:-1], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
 
