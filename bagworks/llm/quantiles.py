@@ -17,10 +17,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bagworks.llm.arrays import changes
+
 #: Values in a buffer and buffers collapsed at once.
 SIZE, FAN = 2048, 8
 
@@ -105,27 +109,45 @@ def summarize(df: DataFrame, keys: Sequence[str], value: str, *, size: int = SIZ
     schema = _schema(df, keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v") & (F.abs("__v") < float("inf")))
 
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, Summary] = {}
-        for f in frames:
-            for key, part in f.groupby(keys, dropna=False, sort=True)["__v"]:
-                key = tuple(None if pd.isna(k) else k for k in key)
+        types: list[pa.DataType] = []
+
+        def told() -> pa.RecordBatch:
+            out = [(k, b) for k, s in held.items() for b in s.buffers()]
+            own = [pa.array([k[i] for k, _ in out], t) for i, t in enumerate(types)]
+            rest = [pa.array([b[0] for _, b in out], pa.int32()), pa.array([b[1] for _, b in out], pa.int64()), pa.array([b[2] for _, b in out], pa.int64()), pa.array([b[3] for _, b in out], pa.list_(pa.float64()))]
+            return pa.record_batch([*own, *rest], names=[*keys, "level", "weight", "error", "values"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            types = [b.column(i).type for i in range(len(keys))]
+            code = np.zeros(b.num_rows, np.int64)
+            for i in range(len(keys)):
+                c = pc.dictionary_encode(b.column(i))
+                code = code * (len(c.dictionary) + 1) + c.indices.fill_null(len(c.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            start = np.flatnonzero(changes(code[order]))
+            names = zip(*(b.column(i).take(pa.array(order[start])).to_pylist() for i in range(len(keys))))
+            values = b.column(len(keys)).to_numpy(zero_copy_only=False)[order]
+            for key, part in zip(names, np.split(values, start[1:])):
                 if key not in held:
                     if len(held) >= held_keys:
-                        yield pd.DataFrame([r for k, s in held.items() for r in _rows(keys, k, s)])
+                        yield told()
                         held = {}
                     held[key] = Summary(size, fan)
-                held[key].add(part.to_numpy(np.float64))
+                held[key].add(part)
         if held:
-            yield pd.DataFrame([r for k, s in held.items() for r in _rows(keys, k, s)])
+            yield told()
 
-    return rows.mapInPandas(build, schema)
+    return rows.mapInArrow(build, schema)
 
 
-def merge_summaries(summaries: DataFrame, keys: Sequence[str], *, size: int = SIZE, fan: int = FAN, lanes: int | None = None) -> DataFrame:
+def merge_summaries(summaries: DataFrame, keys: Sequence[str], *, size: int = SIZE, fan: int = FAN, lanes: int | None = None, lanes_only: bool = False) -> DataFrame:
     """Summaries of the same keys as one. The parts of a key meet in `lanes` tasks first (by default a quarter of the session's
     shuffle partitions, 4 to 256), so a key that is met in every partition of a large table is merged by a tree, not in one task.
-    Buffers of a level are collapsed together, as in one summary."""
+    Buffers of a level are collapsed together, as in one summary. With `lanes_only` the lanes' summaries are left apart."""
     keys = list(keys)
     lanes = lanes or min(256, max(4, int(summaries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
     schema = _schema(summaries, keys)
@@ -143,7 +165,7 @@ def merge_summaries(summaries: DataFrame, keys: Sequence[str], *, size: int = SI
 
     lane = F.pmod(F.xxhash64("values", "weight"), F.lit(lanes))
     first = summaries.groupBy(*keys, lane.alias("__lane")).applyInPandas(merge, schema) if lanes > 1 else summaries
-    return first.groupBy(*keys).applyInPandas(merge, schema)
+    return first if lanes_only else first.groupBy(*keys).applyInPandas(merge, schema)
 
 
 def quantiles_of(summaries: DataFrame, keys: Sequence[str], probabilities: Sequence[float], **how) -> DataFrame:
@@ -165,4 +187,4 @@ def quantiles_of(summaries: DataFrame, keys: Sequence[str], probabilities: Seque
         out = pd.DataFrame([dict(zip(keys, (f[k].iloc[0] for k in keys))) | {"n": n, "rank_error": int(f["error"].sum()), "quantiles": q}])
         return out.astype({k: f[k].dtype for k in keys})
 
-    return merge_summaries(summaries, keys, **how).groupBy(*keys).applyInPandas(read, schema)
+    return merge_summaries(summaries, keys, lanes_only=True, **how).groupBy(*keys).applyInPandas(read, schema)
