@@ -126,7 +126,7 @@ def _deal(rows: DataFrame, t: Threshold, cell_rows: int) -> DataFrame:
     size = materialize(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > cell_rows))
     over = size.orderBy(F.desc("rows"), "cell").limit(SPLIT_CELLS).collect()
     if not over:
-        return rows.withColumn("sub", F.lit(0))
+        return rows.withColumn("sub", F.lit(0).cast("bigint"))
     many = F.broadcast(spark.createDataFrame(over))
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("h1", "h2"))
     # pivots: the first rows by hash, of a share of the cell by hash: at most SPLIT_CELLS x SPLIT_PIVOTS rows
@@ -164,9 +164,9 @@ def _deal(rows: DataFrame, t: Threshold, cell_rows: int) -> DataFrame:
                         lo, hi = min(mine, other), max(mine, other)
                         at.append(i), sub.append(1 + (k * blocks + lo) * blocks + hi)
             take = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(sub, pa.int32())], names=[*b.schema.names, "sub"])
+            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(sub, pa.int64())], names=[*b.schema.names, "sub"])
 
-    return rows.mapInArrow(deal, "cell bigint, h1 bigint, h2 bigint, n int, v array<bigint>, sub int")
+    return rows.mapInArrow(deal, "cell bigint, h1 bigint, h2 bigint, n int, v array<bigint>, sub bigint")
 
 
 def similar_classes(sets: DataFrame, num: int = 7, den: int = 10, *, cell_rows: int = CELL_ROWS) -> DataFrame:
