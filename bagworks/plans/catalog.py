@@ -9,6 +9,9 @@ from bagworks.functions.scalar import array_multiset_op, array_overlap, finalize
 from bagworks.functions.stats import summarize_runs
 from bagworks.operators import batched, bykey, graph, joins, mining, scan, sets
 from bagworks.plans.tables import table
+from bagworks.session import scratch_path
+from bagworks.sources.binary import read_u32, write_u32
+from bagworks.sources.transactions import read_tidsets, read_transactions, write_tidsets
 
 #: Keys from which on a key is ranked in pieces.
 HOT_ROWS = 1_000_000
@@ -235,35 +238,20 @@ def run_stats(spark, d):
 
 # sources: round trips through files in the shared folder
 def bin_roundtrip(spark, d):
-    import uuid
-
-    from bagworks.session import shared_dir
-    from bagworks.sources.binary import read_u32, write_u32
-
-    path = f"{shared_dir(spark).rstrip('/')}/bagworks-files/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     write_u32(table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")), path)
     return read_u32(spark, path).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 def set_from_fimi_text(spark, d):
-    import uuid
-
-    from bagworks.session import shared_dir
-    from bagworks.sources.transactions import read_transactions
-
-    path = f"{shared_dir(spark).rstrip('/')}/bagworks-files/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     t = table(spark, d, "transactions").select(F.array_join(F.filter("items", lambda x: x.isNotNull()), " ").alias("value")).where("value is not null")
     t.write.text(path)
     return read_transactions(spark, path).select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
 
 
 def csr_roundtrip(spark, d):
-    import uuid
-
-    from bagworks.session import shared_dir
-    from bagworks.sources.transactions import read_tidsets, write_tidsets
-
-    path = f"{shared_dir(spark).rstrip('/')}/bagworks-files/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     write_tidsets(_baskets(spark, d, False), path)
     return read_tidsets(spark, path).groupBy("item").agg(F.count(F.lit(1)).alias("support"), F.min("tid").alias("first_tid"), F.max("tid").alias("last_tid"))
 

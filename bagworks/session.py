@@ -85,6 +85,15 @@ def drop_tables(spark: SparkSession) -> None:
         _drop(spark, _TABLES.pop())
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, dropped when the driver ends or by `drop_tables`."""
+    path = f"{shared_dir(spark).rstrip('/')}/bagworks-tables/{uuid.uuid4().hex}"
+    if not _TABLES:
+        atexit.register(drop_tables, spark)
+    _TABLES.append(path)
+    return path
+
+
 def materialize(df: DataFrame, *, sort: Iterable[str] = ()) -> DataFrame:
     """df, written once as a table in the shared folder and read back.
 
@@ -92,12 +101,9 @@ def materialize(df: DataFrame, *, sort: Iterable[str] = ()) -> DataFrame:
     driver ends, or by `drop_tables`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/bagworks-tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     sort = list(sort)
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    if not _TABLES:
-        atexit.register(drop_tables, spark)
-    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
