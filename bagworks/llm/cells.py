@@ -82,9 +82,9 @@ def words(cell: str) -> set[str]:
 WINDOW = 3
 
 
-def windows(cells: Sequence[str]) -> np.ndarray:
-    """64-bit hashes of every WINDOW cells in a row, as signed integers; fewer cells have no window."""
-    f = np.array([fingerprint(s) for s in cells], np.int64)
+def windows(cells: Sequence[str | int]) -> np.ndarray:
+    """64-bit hashes of every WINDOW cells in a row, as signed integers; fewer cells have no window. Cells may be given by fingerprint."""
+    f = np.array([fingerprint(s) if isinstance(s, str) else s for s in cells], np.int64)
     if len(f) < WINDOW:
         return f[:0]
     h = np.zeros(len(f) - WINDOW + 1, np.uint64)

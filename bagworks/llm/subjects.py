@@ -1,7 +1,7 @@
 """Subject areas of documents: classifier chains decoded by beam search.
 
 1. Runs of cells that occur in several different documents are copied blocks: the hashes of all windows of some cells in a row are
-   counted over all documents, whole copies of a document counting once.
+   counted over all documents, whole copies of a document counting once, changed ones too.
 2. From labelled documents (at most `train_docs`, the lowest by hash) the subjects' terms are learned: words, column names and
    values that go with one subject wherever they stand, outside copied blocks. Over all documents, those that hold several terms of
    a subject then lend their subjects to the words that keep company with them, so languages and spellings that few labelled
@@ -35,6 +35,9 @@ from bagworks.session import materialize
 TRAIN_DOCS, MAX_TERMS, COPIES = 20_000, 20_000, 4
 #: Copied windows whose hashes are sent to every task (8 bytes each).
 COPIED_ROWS = 500_000
+#: Share of the cells of prose and code, of the longer of two documents, that stand alike in the same place (from the start or the end) of
+#: changed copies of one notebook, and the rounds in which they are grouped.
+ALIKE, ROUNDS = 0.6, 6
 BEAM = 8
 
 _REGIONS = {"m": 0, "c": 1, "o": 2}
@@ -46,17 +49,18 @@ def clean_source(s: str | None) -> str:
     return "-".join((s or "").lower().replace("_", " ").replace("-", " ").split())
 
 
-_DIGEST = "doc_id bigint, source string, cls bigint, shape array<double>, regions array<int>, wins array<bigint>, words array<string>, word_cell array<int>"
+_DIGEST = "doc_id bigint, source string, cls bigint, shape array<double>, regions array<int>, prints array<bigint>, wins array<bigint>, words array<string>, word_cell array<int>"
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """What the operator reads of each document, in one pass over its whole text: source, hash of the text, its cells' numbers by kind
-    and its length, its cells' regions, the hashes of its windows, and every cell's distinct words. Empty texts give no row."""
+    and its length, its cells' regions, the hashes of its cells of prose and code and of its windows, and every cell's distinct words.
+    Empty texts give no row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             ids, texts, sources, forms = (b.column(i).to_pylist() for i in range(4))
-            rows = {c: [] for c in ("cls", "shape", "regions", "wins", "words", "word_cell")}
+            rows = {c: [] for c in ("cls", "shape", "regions", "prints", "wins", "words", "word_cell")}
             for text, fmt, spans in zip(texts, forms, spans_of(b)):
                 cells = list(cells_of(text, spans, fmt))
                 kinds = [_REGIONS[r] for r, _ in cells]
@@ -64,21 +68,69 @@ def digest(docs: DataFrame) -> DataFrame:
                 rows["cls"].append(fingerprint(text))
                 rows["shape"].append([float(kinds.count(k)) for k in range(3)] + [float(len(text))])
                 rows["regions"].append(kinds)
-                rows["wins"].append(windows([s for _, s in cells]))
+                prints = [fingerprint(s) for _, s in cells]
+                rows["prints"].append([f for f, (r, _) in zip(prints, cells) if r != "o"])
+                rows["wins"].append(windows(prints))
                 rows["words"].append([w for w, _ in met])
                 rows["word_cell"].append([i for _, i in met])
-            types = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32())]
             arrays = [pa.array(ids, pa.int64()), pa.array([clean_source(x) for x in sources], pa.string()), *[pa.array(v, t) for v, t in zip(rows.values(), types)]]
             yield pa.record_batch(arrays, names=["doc_id", "source", *rows])
 
     return docs.select(*_DOC).where("doc_id is not null and length(text) > 0").mapInArrow(read, _DIGEST)
 
 
+def _hot(df: DataFrame, col: str) -> DataFrame:
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), col).limit(1000).select(col)
+
+
+def near_copies(held: DataFrame, prints: DataFrame, *, alike: float = ALIKE, rounds: int = ROUNDS) -> DataFrame | None:
+    """(cls, rep): the texts that are changed copies of another one, `rep`, which is in no row's cls; None if there are none.
+
+    held: (cls, h) distinct, the windows of each text; prints: (cls, prints), its cells of prose and code in order, so neither outputs
+    of another run nor another form tell copies apart. In a round each text is compared cell by cell with the first holder, in an
+    order of that round, of each of its windows, and joins the first of those that it resembles; texts that joined one take no further
+    part. So a group of any size costs rows in proportion to it, never its pairs.
+    """
+    known = None
+    for r in range(rounds):
+        first = materialize(held.groupBy("h").agg(F.min_by("cls", F.xxhash64(F.lit(r), "cls")).alias("to"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        top = first.orderBy(F.desc("n"), "h").limit(1000).select("h")
+        met = materialize(salted_join(held, first.select("h", "to"), ["h"], hot=top, salt_on=["cls"]).where("cls <> to").select("cls", "to").distinct())
+        both = salted_join(met.join(prints, "cls"), prints.select(F.col("cls").alias("to"), F.col("prints").alias("other")), ["to"], hot=_hot(met, "to"), salt_on=["cls"])
+        same = F.expr("size(filter(sequence(0, size(prints) - 1), i -> coalesce(get(prints, i) = get(other, i), false) or coalesce(get(prints, i) = get(other, size(other) - size(prints) + i), false)))")
+        both = both.select("cls", "to", same.alias("same"), F.greatest(F.size("prints"), F.size("other")).alias("n")).where((F.col("same") > 0) & (F.col("same") >= F.lit(alike) * F.col("n")))
+        best = materialize(both.groupBy("cls").agg(F.min_by("to", F.xxhash64(F.lit(r), "to")).alias("to")))
+        if best.isEmpty():
+            break
+        # a text whose match joins another one itself waits for the next round; the first mover's match never does
+        ends = best.select(F.col("cls").alias("to"), F.lit(True).alias("moves"))
+        moved = materialize(salted_join(best, ends, ["to"], hot=_hot(best, "to"), how="left", salt_on=["cls"]).where("moves is null").select("cls", "to"))
+        new = moved.select("cls", F.col("to").alias("rep"))
+        if known is not None:
+            old = salted_join(known, moved.select(F.col("cls").alias("rep"), "to"), ["rep"], hot=_hot(known, "rep"), how="left", salt_on=["cls"])
+            new = old.select("cls", F.coalesce("to", "rep").alias("rep")).unionByName(new)
+        known = materialize(new)
+        held = materialize(held.join(moved.select("cls"), "cls", "left_anti"))
+    return known
+
+
 def copied_windows(read: DataFrame, copies: int = COPIES) -> DataFrame:
-    """(h, docs): hashes of the windows of cells that at least `copies` different documents hold."""
+    """(h, docs): hashes of the windows of cells that at least `copies` different notebooks hold; the copies of one notebook, changed
+    or not, count once."""
     # both stages combine on the map side, so a window that a third of all documents hold is counted in parts
     rows = read.select("cls", F.explode("wins").alias("h")).distinct()
-    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= copies)
+    count = lambda df: df.groupBy("h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= copies)
+    found = materialize(count(rows))
+    if found.isEmpty():
+        return found
+    top = found.orderBy(F.desc("docs"), "h").limit(1000).select("h")
+    held = materialize(salted_join(rows, found.select("h"), ["h"], hot=top, how="left_semi", salt_on=["cls"]))
+    prints = materialize(read.join(held.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("prints").alias("prints")))
+    known = near_copies(held, prints)
+    if known is None:
+        return found
+    return materialize(count(held.join(known, "cls", "left").select(F.coalesce("rep", "cls").alias("cls"), "h").distinct()))
 
 
 class Rows:
@@ -311,7 +363,7 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], *,
     subjects = sorted(subjects)
     k = len(subjects)
     read = materialize(digest(docs))
-    found = materialize(copied_windows(read, copies))
+    found = copied_windows(read, copies)
     few = found.limit(copied_rows + 1).count() <= copied_rows
 
     lab = labels.where("doc_id is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))

@@ -7,7 +7,7 @@ import pytest
 from bagworks.llm.cells import cells_of, windows, words
 from bagworks.llm.mixing import mix_sources, plan_mixture, shares_report
 from bagworks.llm.packing import Capacity, best_fit, pack_documents
-from bagworks.llm.subjects import Chain, assign_subjects
+from bagworks.llm.subjects import Chain, assign_subjects, copied_windows, digest
 from bagworks.llm.tokens import VOCABULARY, count_tokens, encoding
 
 CELLS = "array<struct<cell_type string, exec_count int, char_start int, char_len int>>"
@@ -202,3 +202,45 @@ def test_beam_finds_the_most_probable_combination():
             z = m.logits(m.features(counts, shared, s, before), place)
             total += -np.logaddexp(0, np.where(c[:, s] == 1, -z, z))
         assert (total <= score + 1e-9).all()
+
+
+def changed_copies(n, first):
+    """One notebook about law n times: run again, in two forms, and with one cell edited."""
+    rng = random.Random(6)
+    cells = [("markdown", "Intro"), *[("code" if j % 2 else "markdown", f"We look at {' and '.join(rng.sample(SUBJECTS['law'], 3))} in part {j}") for j in range(8)], ("markdown", "The end")]
+    rows = []
+    for i in range(n):
+        text, spans, edited, form = "", [], rng.randrange(1, 9), ("export", "percent")[i % 2]
+        for j, (kind, c) in enumerate(cells):
+            mark = {"export": f"In [{rng.randrange(99)}]:\n" if kind == "code" else "", "percent": "# %%\n" if kind == "code" else "# %% [markdown]\n# "}[form]
+            c = mark + (f"edited {rng.random()}" if j == edited else c)
+            spans.append((kind, None, len(text), len(c)))
+            text += c + "\n"
+            if kind == "code":
+                out = f"took {rng.random()} s"
+                if rng.random() < 0.3:
+                    spans.append(("output", None, len(text), len(out)))
+                    text += out + "\n"
+        rows.append((first + i, text, "b", form, spans, "clash", 1))
+    return rows
+
+
+@pytest.mark.parametrize("copied_rows", [500_000, 0])
+def test_changed_copies_of_a_notebook_keep_their_subject(spark, copied_rows):
+    rows, truth = corpus()
+    copies = changed_copies(120, 1000)
+    labels = spark.createDataFrame([(i, s) for i in range(0, 400, 2) for s in (truth[i] or [None])], "doc_id bigint, subject string")
+    got: dict = {}
+    for r in assign_subjects(spark.createDataFrame(rows + copies, DOCS), labels, list(SUBJECTS), copied_rows=copied_rows).collect():
+        got.setdefault(r.doc_id, []).append(r.subject)
+    assert sum(got.get(r[0]) == ["law"] for r in copies) >= 0.95 * len(copies)
+    held = list(range(1, 400, 2))
+    assert sum(sorted(got.get(i, [])) == truth[i] for i in held) / len(held) > 0.95
+
+
+def test_windows_are_counted_by_notebook(spark):
+    rows, _ = corpus()
+    plain = {r.h for r in copied_windows(digest(spark.createDataFrame(rows, DOCS))).collect()}
+    assert plain >= set(windows(BLOCK).tolist())
+    more = {r.h for r in copied_windows(digest(spark.createDataFrame(rows + changed_copies(120, 1000), DOCS))).collect()}
+    assert more == plain
