@@ -40,6 +40,13 @@ def p1_pairs(spark, d):
     return pair_counts(base, 15).select(F.col("owner").alias("db_id"), "item_a", "item_b", "c_ab", "c_a", "c_b", "n", lift)
 
 
+def p1_counts(spark, d):
+    """Every two items that stand together in a transaction, however rarely, with their lift in thousandths."""
+    base = baskets(table(spark, d, "transactions"), "db_id", "tid", "items")
+    lift = F.expr("(1000 * c_ab * n) div (c_a * c_b)").alias("lift_milli")
+    return pair_counts(base, 1).select(F.col("owner").alias("db_id"), "item_a", "item_b", "c_ab", "c_a", "c_b", "n", lift)
+
+
 # Problem 2
 def _frequencies(spark, d) -> DataFrame:
     both = [term_frequencies(occ).select(F.lit(src).alias("src"), "*") for src, occ in _sources(spark, d).items()]
@@ -202,6 +209,15 @@ _BASKETS = """with o as (select distinct db_id, tid, item from (select db_id, ti
  p as (select ab.*, a.c as c_a, b.c as c_b, n.n from ab join c a on a.db_id = ab.db_id and a.item = item_a
   join c b on b.db_id = ab.db_id and b.item = item_b join n on n.db_id = ab.db_id)"""
 
+_TOGETHER = """with o as (select distinct db_id, tid, item from (select db_id, tid, unnest(items) as item from transactions
+  where db_id is not null and tid is not null) where item is not null),
+ n as (select db_id, count(distinct tid) as n from o group by db_id),
+ c as (select db_id, item, count(*) as c from o group by db_id, item),
+ ab as (select x.db_id, x.item as item_a, y.item as item_b, count(*) as c_ab from o x join o y on x.db_id = y.db_id and x.tid = y.tid and x.item < y.item
+  group by x.db_id, x.item, y.item),
+ p as (select ab.*, a.c as c_a, b.c as c_b, n.n from ab join c a on a.db_id = ab.db_id and a.item = item_a
+  join c b on b.db_id = ab.db_id and b.item = item_b join n on n.db_id = ab.db_id)"""
+
 _OVERLAPS = """with s as (select distinct upper(trim(set_id, ' ')) as s, k from kmer_sets where set_id is not null and k is not null),
  z as (select s, count(*) as n from s group by s),
  o as (select a.s as set_a, b.s as set_b, count(*) as shared from s a join s b on a.k = b.k and a.s < b.s group by a.s, b.s),
@@ -225,7 +241,7 @@ _SETS = """with l as (select * from (select *, row_number() over (partition by p
  p as (select x.id as id_1, y.id as id_2, count(*) as c from t x join t y on x.v = y.v and x.id < y.id group by x.id, y.id),
  f as (select id_1, id_2 from p join z a on a.id = id_1 join z b on b.id = id_2 where 10 * c >= 7 * (a.n + b.n - c))"""
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p3_overlaps": p3_overlaps,
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_counts": p1_counts, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p3_overlaps": p3_overlaps,
     "p5_found": p5_found, "p5_quantiles": p5_quantiles, "p5_days_added": p5_days_added, "p6_found": p6_found, "p6_members": p6_members, "p7_found": p7_found, "p7_leaders": p7_leaders,
     "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_composition": p10_composition,
@@ -233,6 +249,7 @@ QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2
 ORACLE = {
     "p1_found": f"{_BASKETS} select db_id, item_a, item_b from p where c_ab * n >= 4 * c_a * c_b",
     "p1_pairs": f"{_BASKETS} select db_id, item_a, item_b, c_ab, c_a, c_b, n, ((1000 * c_ab * n) // (c_a * c_b))::bigint as lift_milli from p",
+    "p1_counts": f"{_TOGETHER} select db_id, item_a, item_b, c_ab, c_a, c_b, n, ((1000 * c_ab * n) // (c_a * c_b))::bigint as lift_milli from p",
     "p3_found": f"{_OVERLAPS} select set_a, set_b from p where 10 * shared >= 3 * least(size_a, size_b)",
     "p3_overlaps": f"{_OVERLAPS} select set_a, set_b, shared, size_a, size_b from p",
     "p2_found": f"""{_OCC} select src, owner_id, item, 'rare' as mark from c where support <= 2
