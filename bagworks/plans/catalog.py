@@ -112,8 +112,17 @@ def batched_multiset_counts(spark, d):
 
 
 def batched_intersect_output(spark, d):
+    """The pairs of set 0; `batched_intersect_arrays` gives all."""
+    return _intersect_arrays(spark, d, "a_id = 0")
+
+
+def batched_intersect_arrays(spark, d):
+    return _intersect_arrays(spark, d, "true")
+
+
+def _intersect_arrays(spark, d, which: str) -> DataFrame:
     rows = _nation_parts(spark, d)
-    pairs = batched.all_pairs(rows).where("a_id = 0")
+    pairs = batched.all_pairs(rows).where(which)
     out = batched.batched_intersections(pairs, rows, distinct=True, arrays=True).join(pairs, "pair_id")
     return out.select("a_id", "b_id", "n", F.array_join("keys", ",").alias("keys"))
 
@@ -263,7 +272,7 @@ QUERIES = {
     "set_op_counts": set_op_counts, **{f"{op}_by_key": _by_key_query(op) for op in OPS}, "hash_intersect_by_key": hash_intersect_by_key,
     "equi_join": equi_join, "equi_join_part": equi_join_part, "semi_join": semi_join, "anti_join": anti_join, "chain_join": chain_join,
     "jaccard_pairs": jaccard_pairs, "batched_multiset_counts": batched_multiset_counts, "batched_intersect_output": batched_intersect_output,
-    "batched_intersect_long": batched_intersect_long, "eclat_dense": eclat_dense, "eclat_sparse": eclat_sparse, "vertical_format": vertical_format,
+    "batched_intersect_arrays": batched_intersect_arrays, "batched_intersect_long": batched_intersect_long, "eclat_dense": eclat_dense, "eclat_sparse": eclat_sparse, "vertical_format": vertical_format,
     "mined_supports": mined_supports, "triangle_count": triangle_count, "exclusive_scan": exclusive_scan, "local_rank": local_rank,
     "run_lengths": run_lengths, "rank_flags": rank_flags, "sorted_merge": sorted_merge, "sorted_merge_by_key_value": sorted_merge_by_key_value,
     "sort_pairs": sort_pairs, "segment_gather": segment_gather, "hash_slots": hash_slots, "array_ops": array_ops, "pair_layouts": pair_layouts,
@@ -344,6 +353,9 @@ ORACLE = {
     "batched_intersect_output": f"""{_NATIONS}, i as (select a.set_id as a_id, b.set_id as b_id, count(*) as n, string_agg(a.k::varchar, ',' order by a.k) as keys
   from e a join e b on a.k = b.k and a.set_id < b.set_id where a.set_id = 0 group by 1, 2)
  select p.a_id, p.b_id, coalesce(n, 0)::bigint as n, coalesce(keys, '') as keys from p left join i on i.a_id = p.a_id and i.b_id = p.b_id where p.a_id = 0""",
+    "batched_intersect_arrays": f"""{_NATIONS}, i as (select a.set_id as a_id, b.set_id as b_id, count(*) as n, string_agg(a.k::varchar, ',' order by a.k) as keys
+  from e a join e b on a.k = b.k and a.set_id < b.set_id group by 1, 2)
+ select p.a_id, p.b_id, coalesce(n, 0)::bigint as n, coalesce(keys, '') as keys from p left join i on i.a_id = p.a_id and i.b_id = p.b_id""",
     "batched_intersect_long": f"{_NATIONS} select a.set_id as a_id, b.set_id as b_id, a.k, least(a.m, b.m) as n from e a join e b on a.k = b.k and a.set_id < b.set_id",
     "eclat_dense": _DENSE,
     "eclat_sparse": _SPARSE,

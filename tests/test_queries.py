@@ -23,3 +23,9 @@ def test_entry(spark, data):
 
     assert e.entry(spark).count() == 2
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_all_pairs_come_out_with_their_arrays(spark, data):
+    rows = QUERIES["batched_intersect_arrays"](spark, data).select("a_id", "b_id").collect()
+    ids = {i for r in rows for i in r}
+    assert len({r.a_id for r in rows}) > 1 and len(rows) == len(set(rows)) == len(ids) * (len(ids) - 1) // 2
