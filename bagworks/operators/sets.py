@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from bagworks.session import fresh
 
 OPS = ("intersection", "difference", "union", "sym_difference")
-#: Copies that one row is unfolded to at once.
-_CHUNK = 1 << 16
+#: Copies up to which a row is unfolded where it was counted, and copies in a piece of a row with more.
+_FEW, _CHUNK = 8, 1 << 15
 
 
 def multiplicity(op: str, m: Column, n: Column) -> Column:
@@ -40,13 +40,21 @@ def multiplicities(a: DataFrame, b: DataFrame, m: str = "m", n: str = "n") -> Da
     return both.groupBy(*cols).agg(F.sum(m).alias(m), F.sum(n).alias(n))
 
 
-def unfold(df: DataFrame, copies: str) -> DataFrame:
-    """Each row `copies` times, without that column. Large counts are unfolded by pieces, so no array grows with them."""
-    (piece, n) = fresh(df, "piece", "n")
+def unfold(df: DataFrame, copies: str, partitions: int | None = None) -> DataFrame:
+    """Each row `copies` times, without that column; null and non-positive counts give none.
+
+    Few counted rows can stand for very many copies, and adaptive execution would merge them into one task. So rows of more than a
+    few copies are cut into pieces, which are dealt by hash to a stated number of tasks (by default the session's shuffle
+    partitions) before they are unfolded; the others, whose copies stay in proportion to what was counted, are unfolded in place.
+    """
+    (piece,) = fresh(df, "piece")
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in df.columns if c != copies]
-    many = df.where(F.col(copies) > 0).withColumn(piece, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1, F.lit(_CHUNK).cast("bigint"))))
-    many = many.withColumn(n, F.least(F.col(copies) - F.col(piece), F.lit(_CHUNK)).cast("int"))
-    return many.select(*rest, F.explode(F.array_repeat(F.lit(0), F.col(n))).alias(piece)).drop(piece)
+    times = lambda d, c: d.select(*rest, F.explode(F.array_repeat(F.lit(0), c.cast("int"))).alias(piece)).drop(piece)
+    few = times(df.where((F.col(copies) > 0) & (F.col(copies) <= _FEW)), F.col(copies))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1, F.lit(_CHUNK).cast("bigint"))
+    many = df.where(F.col(copies) > _FEW).withColumn(piece, F.explode(starts)).repartition(n, *rest, piece)
+    return few.unionByName(times(many, F.least(F.col(copies) - F.col(piece), F.lit(_CHUNK))))
 
 
 def multiset_op(a: DataFrame, b: DataFrame, op: str) -> DataFrame:

@@ -4,6 +4,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from bagworks.operators import sets
 
 WANT = {
@@ -74,3 +76,13 @@ def test_distinct(spark):
 def test_bad_op(spark):
     with pytest.raises(ValueError):
         sets.multiset_op(frame(spark, [1]), frame(spark, [1]), "xor")
+
+
+def test_copies_of_few_rows_leave_in_many_tasks(spark):
+    from bagworks.operators.sets import unfold
+
+    df = spark.createDataFrame([("a", 400_000), ("b", 400_000), (None, 9), ("c", 8), ("d", 0), ("e", None)], "k string, n bigint")
+    out = unfold(df, "n", 8)
+    assert {r.k: r["count"] for r in out.groupBy("k").count().collect()} == {"a": 400_000, "b": 400_000, None: 9, "c": 8}
+    per = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(per) < 0.4 * 800_017
