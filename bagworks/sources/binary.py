@@ -7,23 +7,24 @@ ranges, one a task; writing gives one such file a task. Options:
 * values_per_partition: values that a read task takes, 4,194,304 by default.
 
 Read columns: k BIGINT, and ordinal BIGINT, the value's place in its file, and file STRING. Written rows need one integer column k in
-0..2^32-1; nulls and other values are an error. Files are on a file system that every executor sees.
+0..2^32-1; nulls and other values are an error. Files are on a file system that every executor sees (see `files`).
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from glob import glob
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from bagworks.sources import files
+
 _BATCH = 1 << 16
 
 
@@ -31,20 +32,6 @@ def _truth(s: str | None, default: bool) -> bool:
     return default if s is None else s.strip().lower() in ("true", "1", "yes")
 
 
-def local(path: str) -> str:
-    return path[len("file:") :].replace("//", "/", 1) if path.startswith("file:") else path
-
-
-def files_of(path: str, suffix: str = ".bin") -> list[str]:
-    path = local(path)
-    if os.path.isdir(path):
-        return sorted(p for p in glob(os.path.join(path, f"*{suffix}")) if not os.path.basename(p).startswith(("_", ".")))
-    found = sorted(glob(path))
-    if not found:
-        raise FileNotFoundError(path)
-    return found
-
-
 @dataclass
 class Range(InputPartition):
     file: str
@@ -55,13 +42,12 @@ class Range(InputPartition):
 
 def count_of(file: str, header: bool) -> int:
     """Values in a file."""
-    size = os.path.getsize(file)
+    size = files.size_of(file)
     body = size - 8 * header
     if body < 0 or body % 4:
         raise ValueError(f"{file}: {size} bytes are no array of 32-bit values" + " behind a count" * header)
     if header:
-        with open(file, "rb") as f:
-            (n,) = struct.unpack("<Q", f.read(8))
+        (n,) = struct.unpack("<Q", b"".join(files.read_at(file, 0, 8)))
         if n * 4 != body:
             raise ValueError(f"{file}: its count is {n}, it holds {body // 4} values")
     return body // 4
@@ -74,7 +60,7 @@ class U32Reader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out = []
-        for f in files_of(self.path):
+        for f in files.files_of(self.path, ".bin"):
             n = count_of(f, self.header)
             out += [Range(f, 8 * self.header + 4 * i, i, min(self.per, n - i)) for i in range(0, n, self.per)]
         return out
@@ -82,12 +68,11 @@ class U32Reader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if partition is None or not partition.count:
             return
-        with open(partition.file, "rb") as f:
-            f.seek(partition.start)
-            for at in range(0, partition.count, _BATCH):
-                v = np.frombuffer(f.read(4 * min(_BATCH, partition.count - at)), "<u4").astype(np.int64)
-                first = partition.first + at
-                yield pa.record_batch([pa.array(v), pa.array(np.arange(first, first + len(v))), pa.array([partition.file] * len(v))], names=["k", "ordinal", "file"])
+        first = partition.first
+        for got in files.read_at(partition.file, partition.start, 4 * partition.count, 4 * _BATCH):
+            v = np.frombuffer(got, "<u4").astype(np.int64)
+            yield pa.record_batch([pa.array(v), pa.array(np.arange(first, first + len(v))), pa.array([partition.file] * len(v))], names=["k", "ordinal", "file"])
+            first += len(v)
 
 
 @dataclass
@@ -98,18 +83,18 @@ class Written(WriterCommitMessage):
 
 class U32Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.header, self.overwrite, self.job = local(options["path"]), _truth(options.get("header"), True), overwrite, uuid.uuid4().hex
+        self.path, self.header, self.overwrite, self.job = options["path"].rstrip("/"), _truth(options.get("header"), True), overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
+        files.make_folder(self.path)
         ctx = TaskContext.get()
-        tmp = os.path.join(self.path, f".{self.job}-{ctx.partitionId():05d}-{ctx.taskAttemptId()}.bin")
-        n = 0
-        with open(tmp, "wb") as f:
+        tmp = f"{self.path}/.{self.job}-{ctx.partitionId():05d}-{ctx.taskAttemptId()}.bin"
+
+        def chunks() -> Iterator[bytes]:
             if self.header:
-                f.write(struct.pack("<Q", 0))
+                yield bytes(8)
             for b in iterator:
                 c = b.column(b.schema.get_field_index("k"))
                 if c.null_count:
@@ -117,27 +102,26 @@ class U32Writer(DataSourceArrowWriter):
                 v = c.to_numpy(zero_copy_only=False).astype(np.int64)
                 if len(v) and (v.min() < 0 or v.max() > 0xFFFFFFFF):
                     raise ValueError("k must lie in 0..2^32-1")
-                f.write(v.astype("<u4").tobytes())
-                n += len(v)
-            if self.header:
-                f.seek(0)
-                f.write(struct.pack("<Q", n))
+                yield v.astype("<u4").tobytes()
+
+        n = (files.write_bytes(tmp, chunks()) - 8 * self.header) // 4
+        if self.header:
+            files.put_count(tmp, n)
         return Written(tmp, n)
 
     def commit(self, messages: list) -> None:
         """Only committed attempts get their final names, so a task that ran twice leaves one file."""
-        old = files_of(self.path) if os.path.isdir(self.path) else []
-        if self.overwrite:
-            for f in old:
-                os.remove(f)
+        if self.overwrite and files.is_folder(self.path):
+            for f in files.files_of(self.path, ".bin"):
+                files.delete(f)
         done = sorted((m for m in messages if m is not None), key=lambda m: m.file)
         for i, m in enumerate(done):
-            os.replace(m.file, os.path.join(self.path, f"part-{i:05d}-{self.job[:8]}.bin"))
+            files.move(m.file, f"{self.path}/part-{i:05d}-{self.job[:8]}.bin")
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m is not None and os.path.exists(m.file):
-                os.remove(m.file)
+            if m is not None:
+                files.delete(m.file)
 
 
 class U32Source(DataSource):
@@ -169,17 +153,27 @@ def write_u32(df: DataFrame, path: str, *, header: bool = True, overwrite: bool
 
 def read_u32_pairs(spark: SparkSession, keys: str, values: str, *, header: bool = True) -> DataFrame:
     """(k, v, ordinal): the i-th value of file `keys` with the i-th of file `values`, two single files of one length."""
-    if count_of(local(keys), header) != count_of(local(values), header):
+    if count_of(keys, header) != count_of(values, header):
         raise ValueError("the two files differ in length")
     a = read_u32(spark, keys, header=header).select("ordinal", "k")
     b = read_u32(spark, values, header=header).select("ordinal", "k").withColumnRenamed("k", "v")
     return a.join(b, "ordinal").select("k", "v", "ordinal")
 
 
-def random_multiset(spark: SparkSession, n: int, high: int, seed: int = 123456) -> DataFrame:
-    """n integers of 1..high, evenly distributed, repeatable for a seed and number of partitions."""
-    from pyspark.sql import functions as F
-
+def _random(spark: SparkSession, n: int, high: int, seed: int) -> DataFrame:
+    """(id, k): k in 1..high from a hash of the seed and the place in the stream, so the values depend on nothing else."""
     if n < 0 or high < 1:
         raise ValueError("n must not be negative, high at least 1")
-    return spark.range(n).select((F.floor(F.rand(seed) * high) + 1).cast("bigint").alias("k"))
+    return spark.range(n).select("id", (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(high)) + 1).cast("bigint").alias("k"))
+
+
+def random_multiset(spark: SparkSession, n: int, high: int, seed: int = 123456) -> DataFrame:
+    """n integers of 1..high, evenly distributed, repeatable for a seed."""
+    return _random(spark, n, high, seed).select("k")
+
+
+def random_sides(spark: SparkSession, n_a: int, n_b: int, high: int, seed: int = 123456) -> tuple[DataFrame, DataFrame]:
+    """Two sorted columns k of one stream: A holds its first n_a values, B the n_b that follow."""
+    stream = _random(spark, n_a + n_b, high, seed)
+    side = lambda c: stream.where(c).select("k").orderBy("k")
+    return side(F.col("id") < n_a), side(F.col("id") >= n_a)

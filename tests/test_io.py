@@ -122,3 +122,67 @@ def test_streams(spark, tmp_path):
     q = windowed_counts(s, "ts", ["k"], width="1 minute", late="5 minutes").writeStream.outputMode("append").format("memory").queryName("win").start()
     q.processAllAvailable(), q.stop()
     assert [r.n for r in spark.sql("select * from win").collect()] == [1]
+
+
+def test_random_sides_are_sorted_and_repeatable(spark):
+    a, b = binary.random_sides(spark, 300, 200, 50, seed=7)
+    va, vb = [r.k for r in a.collect()], [r.k for r in b.collect()]
+    assert len(va) == 300 and len(vb) == 200 and va == sorted(va) and vb == sorted(vb)
+    again = binary.random_sides(spark.range(1).sparkSession, 300, 200, 50, seed=7)
+    assert [r.k for r in again[0].collect()] == va and [r.k for r in again[1].repartition(5).orderBy("k").collect()] == vb
+
+
+def test_a_hot_item_goes_over_several_files(spark, tmp_path):
+    rows = [(1, t) for t in range(4000)] + [(2, 5), (3, 6)]
+    df = spark.createDataFrame(rows, "item bigint, tid bigint")
+    transactions.write_tidsets(df, str(tmp_path / "v"), file_values=700)
+    assert len(list((tmp_path / "v").glob("*.items.bin"))) >= 6
+    assert sorted(map(tuple, transactions.read_tidsets(spark, str(tmp_path / "v")).collect())) == sorted(rows)
+    meta = transactions.read_meta(spark, str(tmp_path / "v" / "meta.json")).first()
+    assert (meta.numItems, meta.totalTidsetElements, meta.numTransactions) == (3, 4002, 4000)
+    transactions.write_tidsets(df.limit(0), str(tmp_path / "none"))
+    assert transactions.read_tidsets(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError):
+        transactions.write_tidsets(df, str(tmp_path / "w"), file_values=0)
+
+
+def test_lines_are_numbered_over_files(spark, tmp_path):
+    (tmp_path / "a.dat").write_text("1\n\n2 3\n")
+    (tmp_path / "b.dat").write_text("4\n" * 500)
+    (tmp_path / "c.dat").write_text("# none\n5\n")
+    got = [(r.tid, r["items"]) for r in transactions.read_transactions(spark, str(tmp_path)).orderBy("tid").collect()]
+    assert got == [(0, [1]), (1, [2, 3]), *[(i, [4]) for i in range(2, 502)], (502, [5])]
+
+
+def test_files_of_a_store(tmp_path):
+    from bagworks.sources import files
+
+    p = f"file:{tmp_path}/x.bin"
+    assert files.write_bytes(p, iter([bytes(8), b"abcd"])) == 12
+    files.put_count(p, 1)
+    assert b"".join(files.read_at(str(tmp_path / "x.bin"), 0, 12, piece=5)) == struct.pack("<Q", 1) + b"abcd"
+    assert files.files_of(f"file://{tmp_path}", ".bin") == [f"file://{tmp_path}/x.bin"] and files.size_of(p) == 12
+    files.move(p, f"{tmp_path}/y.bin")
+    files.delete(p)
+    assert files.files_of(str(tmp_path), ".bin") == [f"{tmp_path}/y.bin"]
+    with pytest.raises(EOFError):
+        list(files.read_at(str(tmp_path / "y.bin"), 8, 9))
+    with pytest.raises(FileNotFoundError):
+        files.files_of(str(tmp_path / "none"), ".bin")
+
+
+def test_array_slice_and_wide_cells(spark):
+    from bagworks.functions.scalar import array_slice
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 400, 3000).tolist(), rng.integers(100, 500, 2500).tolist()
+    df = spark.createDataFrame([(a, b)], "a array<int>, b array<int>")
+    from collections import Counter
+
+    x, y = Counter(a), Counter(b)
+    want = {"intersection": x & y, "difference": x - y, "union": x | y, "sym_difference": (x - y) + (y - x)}
+    for op, w in want.items():
+        assert df.select(array_multiset_op(F.col("a"), F.col("b"), op)).first()[0] == sorted(w.elements())
+    assert df.select(array_slice(F.col("a"), 2, 3)).first()[0] == a[2:5] and df.select(array_slice(F.col("a"), 2999, 3)).first()[0] == a[2999:]
+    with pytest.raises(ValueError):
+        array_multiset_op(F.col("a"), F.col("b"), "none")
