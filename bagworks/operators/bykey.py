@@ -6,7 +6,7 @@ of the longer side. Rows with a null in the key are no member of any set here: t
 B's rows, where they come out, give the same columns by name.
 
 A key's rank is a window, so a key's rows meet in one task. `hot_rows` names the size from which a key is ranked in pieces instead:
-such keys are range-partitioned by their ordinal and ranked by offsets.
+such keys are range-partitioned by their ordinal and ranked by offsets. None leaves every key whole and saves the count of keys.
 """
 
 from __future__ import annotations
@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagworks.operators.scan import bucket_scan, local_rank
-from bagworks.session import fresh, materialize
+from bagworks.session import checked_broadcast, fresh, materialize
 
+#: Rows of a key from which on it is ranked in pieces.
+HOT_ROWS = 1_000_000
 
-def ranked(df: DataFrame, keys: Sequence[str], ordinal: Sequence[str], name: str, hot_rows: int | None = None) -> DataFrame:
+
+def ranked(df: DataFrame, keys: Sequence[str], ordinal: Sequence[str], name: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """df without null keys, with `name`: the place of each row among its key's, from 0."""
     keys, ordinal = list(keys), list(ordinal)
     if not keys or not ordinal:
@@ -32,7 +35,7 @@ def ranked(df: DataFrame, keys: Sequence[str], ordinal: Sequence[str], name: str
     hot = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(c)).where(F.col(c) > hot_rows).select(*keys))  # at most rows / hot_rows keys
     if hot.isEmpty():
         return local_rank(df, keys, ordinal, name)
-    hot = F.broadcast(hot)
+    hot = checked_broadcast(hot)
     (piece,) = fresh(df, "piece")
     apart = df.join(hot, keys, "left_semi").repartitionByRange(*keys, *ordinal)
     apart = materialize(apart.withColumn(piece, F.spark_partition_id()))
@@ -41,7 +44,7 @@ def ranked(df: DataFrame, keys: Sequence[str], ordinal: Sequence[str], name: str
     return rest.unionByName(spread.select(*rest.columns))
 
 
-def by_key(a: DataFrame, b: DataFrame, keys: Sequence[str], ordinal: Sequence[str], op: str, *, hot_rows: int | None = None) -> DataFrame:
+def by_key(a: DataFrame, b: DataFrame, keys: Sequence[str], ordinal: Sequence[str], op: str, *, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """`op` of intersection, difference, union, sym_difference by `keys`; see the module. Empty sides are allowed."""
     keys = list(keys)
     (r,) = fresh(a, "r")

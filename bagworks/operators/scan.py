@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 from bagworks.session import fresh, materialize
 
 
-
 def local_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "r") -> DataFrame:
     """Adds `name`: the row's place, from 0, among the rows of equal keys, in the total order `order`.
 
@@ -51,7 +50,7 @@ def bucket_scan(df: DataFrame, value: Column, keys: Sequence[str], order: Sequen
     return joined.withColumn(name, F.col(off) + F.coalesce(F.sum(v).over(w), F.lit(0))).drop(v, off)
 
 
-def exclusive_scan(df: DataFrame, value: str, order: Sequence[str], name: str = "prefix", partitions: int | None = None) -> DataFrame:
+def exclusive_scan(df: DataFrame, value: str | Column, order: Sequence[str], name: str = "prefix", partitions: int | None = None) -> DataFrame:
     """Adds `name`: the sum of `value` (null counts 0) over all rows before this one in the total order `order`.
 
     Rows are range-partitioned by `order` and written once with their range's number, as the ranges' bounds come from a sample and
@@ -61,13 +60,29 @@ def exclusive_scan(df: DataFrame, value: str, order: Sequence[str], name: str =
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
     held = materialize(ranged.withColumn(b, F.spark_partition_id()))
     v, off, own = fresh(held, "v", "off", "own")
-    held = held.withColumn(v, F.coalesce(F.col(value).cast("bigint"), F.lit(0)))
+    value = F.col(value) if isinstance(value, str) else value
+    held = held.withColumn(v, F.coalesce(value.cast("bigint"), F.lit(0)))
     parts = held.groupBy(b).agg(F.sum(v).alias(own))  # a row a partition
     parts = parts.select(b, F.coalesce(F.sum(own).over(Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(off))
     w = Window.partitionBy(b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return held.join(F.broadcast(parts), b).withColumn(name, F.col(off) + F.coalesce(F.sum(v).over(w), F.lit(0))).select(*df.columns, name)
 
 
+def place(df: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
+    """Adds `name`: the row's place, from 0, in the order `order` over the whole table; rows that tie take their places in any order."""
+    return exclusive_scan(df, F.lit(1), order, name)
+
+
+def sort_first(df: DataFrame, pos: str, order: Sequence[str], n: int) -> DataFrame:
+    """df as an array whose places are in `pos`: the rows at places below n are put in the order `order`, the others stay.
+
+    `pos` holds 0, 1, 2, ...; rows with a null place stay as they are. Only the rows that move are shuffled.
+    """
+    (new,) = fresh(df, "place")
+    moved = place(df.where(F.col(pos) < n), order, new).withColumn(pos, F.col(new).cast(df.schema[pos].dataType)).drop(new)
+    return moved.select(*df.columns).unionByName(df.where((F.col(pos) >= n) | F.col(pos).isNull()))
+
+
 def sorted_merge(a: DataFrame, b: DataFrame, order: Sequence[str], name: str = "side") -> DataFrame:
     """All rows of both tables in one ascending order, a's before b's where they tie: columns of a and `name` (0 for a, 1 for b).
 

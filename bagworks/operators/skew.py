@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 from bagworks.session import fresh, materialize
 
 _WORD = 6  # 64 positions a word: one BIGINT bitmap
+#: Hot keys of a join that are sent to every task.
+HOT_KEYS = 10_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], *, share: float = 0.01, limit: int = 1000) -> DataFrame:
@@ -56,15 +58,19 @@ def salted_aggregate(
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], *, hot: DataFrame, salts: int = 32, how: str = "inner", salt_on: Sequence[str] = ()) -> DataFrame:
-    """Equi-join where `hot` (a bounded table of the keys in `on`) names the keys that are spread over `salts` tasks.
+    """Equi-join where `hot` (a table of keys in `on`) names the keys that are spread over `salts` tasks.
 
     Rows of `small` are repeated for the hot keys only; every other key keeps one salt. `how`: inner, left or left_semi. Null keys
-    join with nothing, as in SQL; `left` keeps them.
+    join with nothing, as in SQL; `left` keeps them. Both sides must see the same hot keys, so these are read once: up to HOT_KEYS
+    are sent to every task, more are written and joined by a shuffle.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"how={how!r}")
     h, s = fresh(big.join(small.limit(0), list(on), "left"), "hot", "salt")
-    marked = F.broadcast(hot.select(*on).distinct().withColumn(h, F.lit(True)))
+    keys = hot.select(*on).distinct()
+    met = keys.limit(HOT_KEYS + 1).collect()
+    marked = F.broadcast(big.sparkSession.createDataFrame(met, keys.schema)) if len(met) <= HOT_KEYS else materialize(keys)
+    marked = marked.withColumn(h, F.lit(True))
     cols = [F.col(c) for c in (salt_on or big.columns)]
     a = big.join(marked, list(on), "left").withColumn(s, F.when(F.col(h), F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")).otherwise(0)).drop(h)
     b = small.join(marked, list(on), "left").withColumn(s, F.explode(F.when(F.col(h), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop(h)
@@ -105,8 +111,8 @@ def consecutive_runs(df: DataFrame, key: str, pos: str, min_length: int, *, bloc
 
     Rows with a null key or position don't count, repeated positions count once; an empty table gives no row; positions are
     integers and may be negative. The two stages: bitmaps of 64 positions by (key, word), which the map side already combines, then
-    runs stitched first by (key, block of 2^block_bits positions) and at last by key, where only runs arrive that are long enough
-    or touch their block's edge. A word whose bits touch neither edge and hold no long run is dropped at once, as no run of the
+    runs stitched first by (key, block of 2^block_bits positions) and at last by key, where only runs arrive that touch their
+    block's edge. A word whose bits touch neither edge and hold no long run is dropped at once, as no run of the
     wanted length can pass through it.
     """
     if min_length < 1:
@@ -121,9 +127,10 @@ def consecutive_runs(df: DataFrame, key: str, pos: str, min_length: int, *, bloc
     part = _stitch(runs, ["key", "blk"])
     size = 1 << block_bits
     edge = (F.pmod(F.col("lo"), F.lit(size)) == 0) | (F.pmod(F.col("hi"), F.lit(size)) == size - 1)
-    part = part.where(edge | (F.col("hi") - F.col("lo") + 1 >= min_length)).drop("blk")
-    whole = _stitch(part, ["key"])
-    return whole.where(F.col("hi") - F.col("lo") + 1 >= min_length).select(F.col("key").alias(key), "lo", "hi")
+    long = F.col("hi") - F.col("lo") + 1 >= min_length
+    # only runs at a block's edge, at most two a block of a key, can go on: the others are whole already
+    whole = part.where(~edge & long).select("key", "lo", "hi").unionByName(_stitch(part.where(edge).drop("blk"), ["key"]))
+    return whole.where(long).select(F.col("key").alias(key), "lo", "hi")
 
 
 def position_profile(df: DataFrame, key: str, pos: str) -> DataFrame:

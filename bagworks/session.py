@@ -31,10 +31,13 @@ def get_spark(app: str = "bagworks", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of its own where that is unset (local tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a folder of its own where that is unset and the master is local;
+    a cluster without that setting is an error, as a folder of the driver's machine isn't shared."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not there:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         there = tempfile.mkdtemp(prefix="bagworks-")
         sc.setCheckpointDir(there)
         spark.conf.set("spark.checkpoint.dir", there)

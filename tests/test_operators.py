@@ -157,3 +157,56 @@ def test_triangles(spark):
     want = sum(all(frozenset(p) in own for p in itertools.combinations(t, 2)) for t in itertools.combinations(range(30), 3))
     assert graph.triangle_count(spark.createDataFrame(e, "src int, dst int")).first()[0] == want
     assert graph.triangle_count(spark.createDataFrame([], "src int, dst int")).first()[0] == 0
+
+
+def test_pairs_by_element_and_by_list_are_the_same(spark):
+    rng = random.Random(5)
+    sets = {s: Counter(rng.choice([rng.randint(0, 5), rng.randint(0, 60)]) for _ in range(rng.randint(0, 40))) for s in range(30)}
+    df = spark.createDataFrame([(s, k) for s, c in sets.items() for k in c.elements()] + [(None, 1), (1, None)], "set_id int, k int")
+    for n in (3, 40):  # few pairs: elements in many sets go by the list
+        pairs = [(i, rng.randrange(31), rng.randrange(31)) for i in range(n)] + [(n, 4, 4), (n + 1, 2, 3), (n + 2, 3, 2), (n + 3, None, 1)]
+        got = {r.pair_id: r.intersection for r in batched.batched_counts(spark.createDataFrame(pairs, "pair_id int, a_id int, b_id int"), df).collect()}
+        assert got == {i: sum((sets.get(a, Counter()) & sets.get(b, Counter())).values()) for i, a, b in pairs}
+
+
+def test_all_pairs_and_clashing_ids(spark):
+    df = spark.createDataFrame([(s, 1) for s in "abcde"] + [("a", 2), (None, 3)], "set_id string, k int")
+    got = batched.all_pairs(df, blocks=3).collect()
+    assert {(r.a_id, r.b_id) for r in got} == set(itertools.combinations("abcde", 2)) and len({r.pair_id for r in got}) == len(got) == 10
+    assert batched.all_pairs(df.limit(0)).count() == 0
+
+
+def test_places_and_a_sorted_beginning(spark):
+    values = [5, 3, None, 9, 1, 1, 7]
+    df = spark.createDataFrame(list(enumerate(values)), "pos int, v int")
+    got = {r.pos: r.v for r in scan.sort_first(df, "pos", ["v"], 5).collect()}
+    assert [got[i] for i in range(7)] == [None, 1, 3, 5, 9, 1, 7]
+    assert sorted((r.place, r.v) for r in scan.place(df.dropna(), ["v"]).collect()) == list(enumerate(sorted(v for v in values if v is not None)))
+    assert scan.sort_first(df.limit(0), "pos", ["v"], 5).count() == 0
+
+
+def test_more_hot_keys_than_are_sent(spark, monkeypatch):
+    big = spark.createDataFrame([(i % 7, i) for i in range(200)] + [(None, 0)], "k int, x int")
+    small = spark.createDataFrame([(k, k * 10) for k in range(5)], "k int, y int")
+    want = sorted(map(tuple, big.join(small, "k").collect()))
+    for limit in (10_000, 2):
+        monkeypatch.setattr(skew, "HOT_KEYS", limit)
+        assert sorted(map(tuple, skew.salted_join(big, small, ["k"], hot=big.select("k").distinct()).collect())) == want
+
+
+def test_long_runs_inside_and_across_blocks(spark):
+    tids = [*range(10, 40), *range(60, 70), *range(100, 300), 500]
+    df = spark.createDataFrame([(1, t) for t in tids] * 2 + [(None, 5), (1, None)], "item int, tid bigint")
+    got = sorted((r.lo, r.hi) for r in skew.consecutive_runs(df, "item", "tid", 10, block_bits=6).collect())
+    assert got == [(10, 39), (60, 69), (100, 299)]
+
+
+def test_a_shared_folder_is_asked_for_off_local_masters(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from bagworks.session import shared_dir
+
+    none = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(conf=none, sparkContext=SimpleNamespace(getConf=lambda: none, getCheckpointDir=lambda: None, master="spark://x:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(fake)
