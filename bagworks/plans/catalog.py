@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bagworks.functions.scalar import array_multiset_op, array_overlap, finalize32, interleave, pack_pairs, slot, split_interleaved
+from bagworks.functions.scalar import array_multiset_op, array_overlap, array_slice, finalize32, interleave, pack_pairs, slot, split_interleaved
 from bagworks.functions.stats import summarize_runs
 from bagworks.operators import batched, bykey, graph, joins, mining, scan, sets
 from bagworks.plans.tables import table
-from bagworks.session import scratch_path
+from bagworks.session import materialize, scratch_path
 from bagworks.sources.binary import read_u32, write_u32
-from bagworks.sources.transactions import read_tidsets, read_transactions, write_tidsets
+from bagworks.sources.transactions import number_rows, read_meta, read_tidsets, read_transactions, write_results, write_tidsets
 
-#: Keys from which on a key is ranked in pieces.
-HOT_ROWS = 1_000_000
 ORDINAL = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
 
 
@@ -48,6 +46,16 @@ def _set_query(op):
     return lambda spark, d: sets.multiset_op(*_sides(spark, d), op)
 
 
+def _hot_query(op):
+    """The same where 50 values hold all rows."""
+
+    def query(spark, d):
+        qty = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("bigint").alias("qty"))
+        return sets.multiset_op(qty.where("l_returnflag = 'R'").select("qty"), qty.where("l_returnflag = 'A'").select("qty"), op)
+
+    return query
+
+
 def _distinct_query(op):
     return lambda spark, d: sets.distinct_op(*_sides(spark, d), op)
 
@@ -57,7 +65,7 @@ def set_op_counts(spark, d):
 
 
 def _by_key_query(op):
-    return lambda spark, d: bykey.by_key(*_sides(spark, d, *ORDINAL), ["l_partkey"], ORDINAL, op, hot_rows=HOT_ROWS)
+    return lambda spark, d: bykey.by_key(*_sides(spark, d, *ORDINAL), ["l_partkey"], ORDINAL, op)
 
 
 def hash_intersect_by_key(spark, d):
@@ -102,34 +110,34 @@ def _nation_parts(spark, d) -> DataFrame:
 
 def jaccard_pairs(spark, d):
     rows = _nation_parts(spark, d)
-    c = batched.batched_counts(batched.all_pairs(rows), rows, distinct=True)
+    c = batched.batched_counts(materialize(batched.all_pairs(rows)), rows, distinct=True)
     return c.select("a_id", "b_id", "intersection", "union", F.round("jaccard", 9).alias("jaccard"))
 
 
 def batched_multiset_counts(spark, d):
     rows = _nation_parts(spark, d)
-    return batched.batched_counts(batched.all_pairs(rows), rows).select("a_id", "b_id", "size_a", "size_b", "intersection", "union", "difference", "sym_difference")
+    return batched.batched_counts(materialize(batched.all_pairs(rows)), rows).select("a_id", "b_id", "size_a", "size_b", "intersection", "union", "difference", "sym_difference")
 
 
 def batched_intersect_output(spark, d):
-    """The pairs of set 0; `batched_intersect_arrays` gives all."""
-    return _intersect_arrays(spark, d, "a_id = 0")
+    """All pairs, with their copies."""
+    return _intersect_arrays(spark, d, False)
 
 
 def batched_intersect_arrays(spark, d):
-    return _intersect_arrays(spark, d, "true")
+    return _intersect_arrays(spark, d, True)
 
 
-def _intersect_arrays(spark, d, which: str) -> DataFrame:
+def _intersect_arrays(spark, d, distinct: bool) -> DataFrame:
     rows = _nation_parts(spark, d)
-    pairs = batched.all_pairs(rows).where(which)
-    out = batched.batched_intersections(pairs, rows, distinct=True, arrays=True).join(pairs, "pair_id")
+    pairs = materialize(batched.all_pairs(rows))
+    out = batched.batched_intersections(pairs, rows, distinct=distinct, arrays=True).join(pairs, "pair_id")
     return out.select("a_id", "b_id", "n", F.array_join("keys", ",").alias("keys"))
 
 
 def batched_intersect_long(spark, d):
     rows = _nation_parts(spark, d)
-    pairs = batched.all_pairs(rows)
+    pairs = materialize(batched.all_pairs(rows))
     return batched.batched_intersections(pairs, rows).join(pairs, "pair_id").select("a_id", "b_id", "k", "n")
 
 
@@ -150,7 +158,7 @@ def eclat_dense(spark, d):
 
 
 def eclat_sparse(spark, d):
-    return _itemsets(mining.eclat(_baskets(spark, d, False), 4, 3))
+    return _itemsets(mining.eclat(_baskets(spark, d, False), 4))
 
 
 def vertical_format(spark, d):
@@ -158,12 +166,22 @@ def vertical_format(spark, d):
 
 
 def mined_supports(spark, d):
-    """Single supports of transactions beside what `frequent_itemsets` recorded last for them."""
+    """Supports of the sets of one and two items beside what `frequent_itemsets` recorded last for them."""
     t = table(spark, d, "transactions").where("db_id is not null and tid is not null")
-    s = t.select("db_id", "tid", F.explode("items").alias("item")).where("item is not null").distinct().groupBy("db_id", "item").agg(F.count(F.lit(1)).alias("support"))
-    r = table(spark, d, "frequent_itemsets").where("db_id is not null and size(array_distinct(itemset)) = 1 and itemset[0] is not null").select("db_id", F.col("itemset")[0].alias("item"), F.struct("mined_at", "support").alias("x"))
-    r = r.groupBy("db_id", "item").agg(F.max("x").alias("x")).select("db_id", "item", F.col("x.support").alias("recorded"))
-    return r.join(s, ["db_id", "item"], "left").select("db_id", "item", "recorded", F.coalesce("support", F.lit(0)).cast("bigint").alias("support"))
+    o = materialize(t.select("db_id", "tid", F.explode("items").alias("item")).where("item is not null").distinct())
+    one = o.groupBy("db_id", "item").agg(F.count(F.lit(1)).alias("support"))
+    r = table(spark, d, "frequent_itemsets").where("db_id is not null").select("db_id", F.array_sort(F.array_distinct(F.array_compact("itemset"))).alias("s"), F.struct("mined_at", "support").alias("x"))
+    r = r.where("size(s) in (1, 2)").groupBy("db_id", F.col("s")[0].alias("item_a"), F.col("s")[F.size("s") - 1].alias("item_b")).agg(F.max("x").alias("x"))
+    r = materialize(r.select("db_id", "item_a", "item_b", F.col("x.support").alias("recorded")))
+    # a pair is looked up by its rarer item's transactions
+    two = r.where("item_a <> item_b").select("db_id", "item_a", "item_b")
+    side = lambda c, n: one.select("db_id", F.col("item").alias(c), F.col("support").alias(n))
+    two = two.join(side("item_a", "na"), ["db_id", "item_a"]).join(side("item_b", "nb"), ["db_id", "item_b"])
+    low = F.col("na") <= F.col("nb")
+    two = two.select("db_id", "item_a", "item_b", F.when(low, F.col("item_a")).otherwise(F.col("item_b")).alias("item"), F.when(low, F.col("item_b")).otherwise(F.col("item_a")).alias("other"))
+    both = two.join(o, ["db_id", "item"]).drop("item").join(o.withColumnRenamed("item", "other"), ["db_id", "tid", "other"])
+    s = both.groupBy("db_id", "item_a", "item_b").agg(F.count(F.lit(1)).alias("support")).unionByName(one.select("db_id", F.col("item").alias("item_a"), F.col("item").alias("item_b"), "support"))
+    return r.join(s, ["db_id", "item_a", "item_b"], "left").select("db_id", "item_a", "item_b", "recorded", F.coalesce("support", F.lit(0)).cast("bigint").alias("support"))
 
 
 def _graph(spark, d) -> DataFrame:
@@ -184,7 +202,7 @@ def exclusive_scan(spark, d):
 
 def local_rank(spark, d):
     line = table(spark, d, "lineitem").select("l_partkey", *ORDINAL)
-    return bykey.ranked(line, ["l_partkey"], ORDINAL, "r", HOT_ROWS)
+    return bykey.ranked(line, ["l_partkey"], ORDINAL, "r")
 
 
 def run_lengths(spark, d):
@@ -195,24 +213,39 @@ def rank_flags(spark, d):
     """Every row of A with the flags of intersection and difference, before any compaction."""
     a, b = _sides(spark, d, *ORDINAL)
     n = scan.run_length(b.select("l_partkey"), ["l_partkey"])
-    r = bykey.ranked(a, ["l_partkey"], ORDINAL, "r", HOT_ROWS).join(n, "l_partkey", "left")
+    r = bykey.ranked(a, ["l_partkey"], ORDINAL, "r").join(n, "l_partkey", "left")
     hit = (F.col("r") < F.coalesce("n", F.lit(0))).cast("int")
     return r.select("l_partkey", "r", hit.alias("in_intersection"), (1 - hit).alias("in_difference"))
 
 
 def sorted_merge(spark, d):
-    a, b = _sides(spark, d, "l_orderkey")
-    return scan.sorted_merge(a, b, ["l_partkey"]).select("l_partkey", "l_orderkey", "side")
+    """All rows of both sides by key, with the place that each has in the result's partitions."""
+    a, b = _sides(spark, d, *ORDINAL)
+    return number_rows(scan.sorted_merge(a, b, ["l_partkey", *ORDINAL]), "place").select("l_partkey", "l_orderkey", "side", "place")
 
 
 def sorted_merge_by_key_value(spark, d):
     a, b = _sides(spark, d, "l_orderkey")
-    return scan.sorted_merge(a, b, ["l_partkey", "l_orderkey"])
+    return number_rows(scan.sorted_merge(a, b, ["l_partkey", "l_orderkey"]), "place")
 
 
 def sort_pairs(spark, d):
-    """Lexicographic sort of (key, payload)."""
-    return table(spark, d, "lineitem").select("l_partkey", "l_orderkey").orderBy("l_partkey", "l_orderkey")
+    """Lexicographic sort of (key, payload), with the place that each row has in the result's partitions."""
+    return number_rows(table(spark, d, "lineitem").select("l_partkey", "l_orderkey").orderBy("l_partkey", "l_orderkey"), "place")
+
+
+def sort_by_payload(spark, d):
+    """Pairs by their payload alone, keys and payloads changing places; `place` is that of the first row with the same payload."""
+    rows = number_rows(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("y"), F.col("l_partkey").alias("x")).orderBy("y"), "place")
+    first = rows.groupBy("y").agg(F.min("place").alias("place"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n"))
+    return rows.drop("place").join(first, "y").select("y", "x", "place", (F.col("last") - F.col("place") + 1 == F.col("n")).alias("together"))
+
+
+def sort_first_half(spark, d):
+    """The orders as an array by their key; its first half is sorted by price, the rest stays."""
+    o = scan.place(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    o = materialize(o)
+    return scan.sort_first(o, "place", ["o_totalprice", "o_orderkey"], o.count() // 2)
 
 
 def segment_gather(spark, d):
@@ -229,14 +262,15 @@ def hash_slots(spark, d):
 
 def array_ops(spark, d):
     p = table(spark, d, "set_pairs").select("pair_id", "loaded_at", "a", "b")
-    out = {op: F.array_join(array_multiset_op(F.col("a"), F.col("b"), op), ",").alias(op) for op in ("intersection", "difference")}
-    return p.select("pair_id", "loaded_at", *out.values(), array_overlap(F.col("a"), F.col("b")).cast("bigint").alias("overlap"))
+    out = {op: F.array_join(array_multiset_op(F.col("a"), F.col("b"), op), ",").alias(op) for op in OPS}
+    part = F.array_join(array_slice(F.col("a"), 1, 3), ",", "-").alias("part")
+    return p.select("pair_id", "loaded_at", *out.values(), array_overlap(F.col("a"), F.col("b")).cast("bigint").alias("overlap"), part)
 
 
 def pair_layouts(spark, d):
     p = table(spark, d, "benchmark_timings").select("bench_id", "loaded_at", "kernel", "lookback").where("kernel is not null and size(kernel) = size(lookback)")
     again = split_interleaved(interleave(F.col("kernel"), F.col("lookback")), 1)
-    return p.select("bench_id", "loaded_at", F.size(pack_pairs(F.col("kernel"), F.col("lookback"))).cast("bigint").alias("n"), F.size(again).cast("bigint").alias("again"), F.get(again, F.lit(0))["k"].alias("first_lookback"))
+    return p.select("bench_id", "loaded_at", F.size(pack_pairs(F.col("kernel"), F.col("lookback"))).cast("bigint").alias("n"), F.size(again).cast("bigint").alias("again"), F.nanvl(F.get(again, F.lit(0))["k"], F.lit(None).cast("double")).alias("first_lookback"))
 
 
 def run_stats(spark, d):
@@ -252,34 +286,58 @@ def bin_roundtrip(spark, d):
     return read_u32(spark, path).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
+def bin_headerless(spark, d):
+    path = scratch_path(spark)
+    write_u32(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), path, header=False)
+    return read_u32(spark, path, header=False).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
 def set_from_fimi_text(spark, d):
+    """Transactions written as lines in an order, and read again with their line's number."""
     path = scratch_path(spark)
-    t = table(spark, d, "transactions").select(F.array_join(F.filter("items", lambda x: x.isNotNull()), " ").alias("value")).where("value is not null")
-    t.write.text(path)
-    return read_transactions(spark, path).select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    line = F.array_join(F.filter("items", lambda x: x.isNotNull()), " ").alias("value")
+    t = table(spark, d, "transactions").select("db_id", "tid", "loaded_at", line).where("value is not null").orderBy("db_id", "tid", "loaded_at", "value")
+    t.select("value").write.text(path)
+    return read_transactions(spark, path).select("tid", F.array_join("items", " ").alias("items"))
 
 
 def csr_roundtrip(spark, d):
     path = scratch_path(spark)
     write_tidsets(_baskets(spark, d, False), path)
-    return read_tidsets(spark, path).groupBy("item").agg(F.count(F.lit(1)).alias("support"), F.min("tid").alias("first_tid"), F.max("tid").alias("last_tid"))
+    return read_tidsets(spark, path)
+
+
+def csr_meta(spark, d):
+    """The metadata document of the same files."""
+    path = scratch_path(spark)
+    write_tidsets(_baskets(spark, d, False), path)
+    return read_meta(spark, f"{path}/meta.json").select(F.col("numTransactions").alias("n_transactions"), F.col("numItems").alias("n_items"), F.col("totalTidsetElements").alias("n_elements"))
+
+
+def result_lines(spark, d):
+    """A result written as JSON lines and read again."""
+    path = scratch_path(spark)
+    write_results(q12_shaped(spark, d), path)
+    return spark.read.schema("l_returnflag string, high_line_count bigint, low_line_count bigint").json(path)
 
 
 OPS = sets.OPS
 QUERIES = {
     "q12_shaped": q12_shaped, "q12_filter_count": q12_filter_count, "q12_compaction": q12_compaction,
-    **{f"set_{op}": _set_query(op) for op in OPS}, **{f"distinct_{op}": _distinct_query(op) for op in OPS},
+    **{f"set_{op}": _set_query(op) for op in OPS}, **{f"distinct_{op}": _distinct_query(op) for op in OPS}, **{f"hot_set_{op}": _hot_query(op) for op in OPS},
     "set_op_counts": set_op_counts, **{f"{op}_by_key": _by_key_query(op) for op in OPS}, "hash_intersect_by_key": hash_intersect_by_key,
     "equi_join": equi_join, "equi_join_part": equi_join_part, "semi_join": semi_join, "anti_join": anti_join, "chain_join": chain_join,
     "jaccard_pairs": jaccard_pairs, "batched_multiset_counts": batched_multiset_counts, "batched_intersect_output": batched_intersect_output,
     "batched_intersect_arrays": batched_intersect_arrays, "batched_intersect_long": batched_intersect_long, "eclat_dense": eclat_dense, "eclat_sparse": eclat_sparse, "vertical_format": vertical_format,
     "mined_supports": mined_supports, "triangle_count": triangle_count, "exclusive_scan": exclusive_scan, "local_rank": local_rank,
     "run_lengths": run_lengths, "rank_flags": rank_flags, "sorted_merge": sorted_merge, "sorted_merge_by_key_value": sorted_merge_by_key_value,
-    "sort_pairs": sort_pairs, "segment_gather": segment_gather, "hash_slots": hash_slots, "array_ops": array_ops, "pair_layouts": pair_layouts,
-    "run_stats": run_stats, "bin_roundtrip": bin_roundtrip, "set_from_fimi_text": set_from_fimi_text, "csr_roundtrip": csr_roundtrip,
+    "sort_pairs": sort_pairs, "sort_by_payload": sort_by_payload, "sort_first_half": sort_first_half, "segment_gather": segment_gather, "hash_slots": hash_slots, "array_ops": array_ops, "pair_layouts": pair_layouts,
+    "run_stats": run_stats, "bin_roundtrip": bin_roundtrip, "bin_headerless": bin_headerless, "set_from_fimi_text": set_from_fimi_text,
+    "csr_roundtrip": csr_roundtrip, "csr_meta": csr_meta, "result_lines": result_lines,
 }
 
 _A, _B = ("(select l_partkey from lineitem where l_returnflag = 'R')", "(select l_partkey from lineitem where l_returnflag = 'A')")
+_HA, _HB = ("(select l_quantity::bigint as qty from lineitem where l_returnflag = 'R')", "(select l_quantity::bigint as qty from lineitem where l_returnflag = 'A')")
 _COUNTS = """with c as (select l_partkey, count(*) filter (l_returnflag = 'R') as m, count(*) filter (l_returnflag = 'A') as n
  from lineitem where l_returnflag in ('R', 'A') group by l_partkey)"""
 _COPIES = {"intersection": "least(m, n)", "difference": "greatest(m - n, 0)", "union": "greatest(m, n)", "sym_difference": "abs(m - n)"}
@@ -307,10 +365,13 @@ _SPARSE = """with t as materialized (select distinct l_orderkey as tid, l_suppke
  f as (select item from t group by item having count(*) >= 4), u as (select t.* from t join f using (item)),
  p as (select a.item as i1, b.item as i2, a.tid from u a join u b on a.tid = b.tid and a.item < b.item),
  q as (select i1, i2 from p group by i1, i2 having count(*) >= 4),
- s as (select p.i1, p.i2, c.item as i3 from p join q using (i1, i2) join u c on c.tid = p.tid and c.item > p.i2)
+ s as (select p.i1, p.i2, c.item as i3, p.tid from p join q using (i1, i2) join u c on c.tid = p.tid and c.item > p.i2),
+ r as (select i1, i2, i3 from s group by i1, i2, i3 having count(*) >= 4),
+ v as (select s.i1, s.i2, s.i3, c.item as i4 from s join r using (i1, i2, i3) join u c on c.tid = s.tid and c.item > s.i3)
  select item::varchar as itemset, 1 as size, count(*) as support from t group by item having count(*) >= 4
  union all select i1 || ',' || i2, 2, count(*) from p group by i1, i2 having count(*) >= 4
- union all select i1 || ',' || i2 || ',' || i3, 3, count(*) from s group by i1, i2, i3 having count(*) >= 4"""
+ union all select i1 || ',' || i2 || ',' || i3, 3, count(*) from s group by i1, i2, i3 having count(*) >= 4
+ union all select i1 || ',' || i2 || ',' || i3 || ',' || i4, 4, count(*) from v group by i1, i2, i3, i4 having count(*) >= 4"""
 _GRAPH = """with p as (select distinct l_orderkey, l_partkey from lineitem),
  e as materialized (select distinct a.l_partkey as src, b.l_partkey as dst from p a join p b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey)"""
 
@@ -325,6 +386,10 @@ ORACLE = {
     "set_difference": f"{_A} except all {_B}",
     "set_union": f"{_A} union all ({_B} except all {_A})",
     "set_sym_difference": f"({_A} except all {_B}) union all ({_B} except all {_A})",
+    "hot_set_intersection": f"{_HA} intersect all {_HB}",
+    "hot_set_difference": f"{_HA} except all {_HB}",
+    "hot_set_union": f"{_HA} union all ({_HB} except all {_HA})",
+    "hot_set_sym_difference": f"({_HA} except all {_HB}) union all ({_HB} except all {_HA})",
     **{f"distinct_{op}": f"{_COUNTS} select l_partkey from c where {c}" for op, c in _MEMBERS.items()},
     "set_op_counts": f"{_COUNTS} select sum(m)::bigint as size_a, sum(n)::bigint as size_b, " + ", ".join(f"sum({e})::bigint as {op}" for op, e in _COPIES.items()) + " from c",
     "intersection_by_key": f"{_RANKED} select a.l_partkey, {', '.join('a.' + o for o in ORDINAL)} from a join b on a.l_partkey = b.l_partkey and a.r = b.r",
@@ -350,9 +415,9 @@ ORACLE = {
  w as (select p.a_id, p.b_id, x.n as size_a, y.n as size_b, coalesce(c, 0)::bigint as c from p join z x on x.set_id = p.a_id join z y on y.set_id = p.b_id
   left join i on i.a_id = p.a_id and i.b_id = p.b_id)
  select a_id, b_id, size_a, size_b, c as intersection, size_a + size_b - c as "union", size_a - c as difference, size_a + size_b - 2 * c as sym_difference from w""",
-    "batched_intersect_output": f"""{_NATIONS}, i as (select a.set_id as a_id, b.set_id as b_id, count(*) as n, string_agg(a.k::varchar, ',' order by a.k) as keys
-  from e a join e b on a.k = b.k and a.set_id < b.set_id where a.set_id = 0 group by 1, 2)
- select p.a_id, p.b_id, coalesce(n, 0)::bigint as n, coalesce(keys, '') as keys from p left join i on i.a_id = p.a_id and i.b_id = p.b_id where p.a_id = 0""",
+    "batched_intersect_output": f"""{_NATIONS}, i as (select a.set_id as a_id, b.set_id as b_id, sum(least(a.m, b.m))::bigint as n,
+  rtrim(string_agg(repeat(a.k::varchar || ',', least(a.m, b.m)::int), '' order by a.k), ',') as keys from e a join e b on a.k = b.k and a.set_id < b.set_id group by 1, 2)
+ select p.a_id, p.b_id, coalesce(n, 0)::bigint as n, coalesce(keys, '') as keys from p left join i on i.a_id = p.a_id and i.b_id = p.b_id""",
     "batched_intersect_arrays": f"""{_NATIONS}, i as (select a.set_id as a_id, b.set_id as b_id, count(*) as n, string_agg(a.k::varchar, ',' order by a.k) as keys
   from e a join e b on a.k = b.k and a.set_id < b.set_id group by 1, 2)
  select p.a_id, p.b_id, coalesce(n, 0)::bigint as n, coalesce(keys, '') as keys from p left join i on i.a_id = p.a_id and i.b_id = p.b_id""",
@@ -360,10 +425,11 @@ ORACLE = {
     "eclat_dense": _DENSE,
     "eclat_sparse": _SPARSE,
     "vertical_format": f"select item, count(*) as support, md5(string_agg(tid, ',' order by tid)) as tids_md5 from {_EVENTS} group by item",
-    "mined_supports": """with s as (select db_id, item, count(distinct tid) as support from (select db_id, tid, unnest(items) as item from transactions) where item is not null group by 1, 2),
- r as (select db_id, itemset[1] as item, support, row_number() over (partition by db_id, itemset[1] order by mined_at desc, support desc nulls last) as r
-  from frequent_itemsets where len(list_distinct(itemset)) = 1 and itemset[1] is not null)
- select db_id, item, r.support as recorded, coalesce(s.support, 0)::bigint as support from r left join s using (db_id, item) where r = 1""",
+    "mined_supports": """with o as (select distinct db_id, tid, item from (select db_id, tid, unnest(items) as item from transactions) where item is not null and db_id is not null and tid is not null),
+ f as (select db_id, list_sort(list_distinct(list_filter(itemset, lambda x: x is not null))) as s, support, mined_at from frequent_itemsets where db_id is not null),
+ g as (select db_id, s[1] as item_a, s[len(s)] as item_b, support, row_number() over (partition by db_id, s order by mined_at desc, support desc nulls last) as r from f where len(s) in (1, 2)),
+ c as (select g.db_id, item_a, item_b, count(*) as n from g join o x on x.db_id = g.db_id and x.item = item_a join o y on y.db_id = g.db_id and y.item = item_b and y.tid = x.tid where r = 1 group by 1, 2, 3)
+ select g.db_id, g.item_a, g.item_b, g.support as recorded, coalesce(c.n, 0)::bigint as support from g left join c using (db_id, item_a, item_b) where r = 1""",
     "triangle_count": f"{_GRAPH} select count(*) as triangles from e a join e b on a.dst = b.src join e c on c.src = a.src and c.dst = b.dst",
     "exclusive_scan": """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, coalesce(sum(l_quantity::bigint) over
  (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice rows between unbounded preceding and 1 preceding), 0)::bigint as prefix from lineitem""",
@@ -372,9 +438,15 @@ ORACLE = {
     "rank_flags": """with a as (select l_partkey, row_number() over (partition by l_partkey order by l_orderkey) - 1 as r from lineitem where l_returnflag = 'R'),
  b as (select l_partkey, count(*) as n from lineitem where l_returnflag = 'A' group by l_partkey)
  select l_partkey, r, (r < coalesce(n, 0))::int as in_intersection, (r >= coalesce(n, 0))::int as in_difference from a left join b using (l_partkey)""",
-    "sorted_merge": "select l_partkey, l_orderkey, (l_returnflag = 'A')::int as side from lineitem where l_returnflag in ('R', 'A')",
-    "sorted_merge_by_key_value": "select l_partkey, l_orderkey, (l_returnflag = 'A')::int as side from lineitem where l_returnflag in ('R', 'A')",
-    "sort_pairs": "select l_partkey, l_orderkey from lineitem",
+    "sorted_merge": f"""select l_partkey, l_orderkey, (l_returnflag = 'A')::int as side, row_number() over (order by l_partkey, {_O}, l_returnflag = 'A') - 1 as place
+ from lineitem where l_returnflag in ('R', 'A')""",
+    "sorted_merge_by_key_value": """select l_partkey, l_orderkey, (l_returnflag = 'A')::int as side, row_number() over (order by l_partkey, l_orderkey, l_returnflag = 'A') - 1 as place
+ from lineitem where l_returnflag in ('R', 'A')""",
+    "sort_pairs": "select l_partkey, l_orderkey, row_number() over (order by l_partkey, l_orderkey) - 1 as place from lineitem",
+    "sort_by_payload": "select l_orderkey as y, l_partkey as x, rank() over (order by l_orderkey) - 1 as place, true as together from lineitem",
+    "sort_first_half": """with o as (select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) - 1 as place from orders)
+ select o_orderkey, o_totalprice, row_number() over (order by o_totalprice, o_orderkey) - 1 as place from o where place < (select count(*) // 2 from o)
+ union all select o_orderkey, o_totalprice, place from o where place >= (select count(*) // 2 from o)""",
     "segment_gather": """select c_custkey as seg, o_orderkey - c_custkey * 7 as i, o_custkey from customer join orders
  on o_orderkey >= c_custkey * 7 and o_orderkey < c_custkey * 7 + c_custkey % 13""",
     "hash_slots": """with a as (select p_partkey, xor(p_partkey, p_partkey >> 16) as h from part),
@@ -385,11 +457,14 @@ ORACLE = {
    select pair_id, loaded_at, unnest(a) as v, 1 as m, 0 as n from set_pairs where a is not null and b is not null
    union all select pair_id, loaded_at, unnest(b), 0, 1 from set_pairs where a is not null and b is not null) where v is not null group by all),
  y as (select pair_id, loaded_at, coalesce(string_agg(repeat(v::varchar || ',', least(m, n)::int), '' order by v), '') as i,
-   coalesce(string_agg(repeat(v::varchar || ',', greatest(m - n, 0)::int), '' order by v), '') as d, count(*) filter (m > 0 and n > 0) as o from x group by all)
+   coalesce(string_agg(repeat(v::varchar || ',', greatest(m - n, 0)::int), '' order by v), '') as d, coalesce(string_agg(repeat(v::varchar || ',', greatest(m, n)::int), '' order by v), '') as u,
+   coalesce(string_agg(repeat(v::varchar || ',', abs(m - n)::int), '' order by v), '') as e, count(*) filter (m > 0 and n > 0) as o from x group by all)
  select s.pair_id, s.loaded_at, case when a is not null and b is not null then rtrim(coalesce(i, ''), ',') end as intersection,
- case when a is not null and b is not null then rtrim(coalesce(d, ''), ',') end as difference,
- case when a is not null and b is not null then coalesce(o, 0)::bigint end as overlap from set_pairs s left join y on s.pair_id = y.pair_id and s.loaded_at = y.loaded_at""",
-    "pair_layouts": """select bench_id, loaded_at, len(kernel)::bigint as n, len(kernel)::bigint as again, lookback[1] as first_lookback from benchmark_timings
+ case when a is not null and b is not null then rtrim(coalesce(d, ''), ',') end as difference, case when a is not null and b is not null then rtrim(coalesce(u, ''), ',') end as "union",
+ case when a is not null and b is not null then rtrim(coalesce(e, ''), ',') end as sym_difference, case when a is not null and b is not null then coalesce(o, 0)::bigint end as overlap,
+ case when a is not null then coalesce(array_to_string(list_transform(a[2:4], lambda x: coalesce(x::varchar, '-')), ','), '') end as part
+ from set_pairs s left join y on s.pair_id = y.pair_id and s.loaded_at = y.loaded_at""",
+    "pair_layouts": """select bench_id, loaded_at, len(kernel)::bigint as n, len(kernel)::bigint as again, case when isnan(lookback[1]) then null else lookback[1] end as first_lookback from benchmark_timings
  where kernel is not null and len(kernel) = len(lookback)""",
     "run_stats": """with r as (select config_id, kernel_ms as v from (select *, row_number() over (partition by run_id order by loaded_at desc) as r from run_records where run_id is not null)
   where r = 1 and kernel_ms is not null and not isnan(kernel_ms))
@@ -397,6 +472,10 @@ ORACLE = {
  round(quantile_cont(v, 0.5), 6) as median, round(quantile_cont(v, 0.95), 6) as p95, round(stddev_samp(v) / nullif(avg(v), 0), 6) as cv,
  round(stddev_samp(v) / sqrt(count(*)), 6) as sem from r group by config_id""",
     "bin_roundtrip": "select l_partkey as k, count(*) as n from lineitem group by l_partkey",
-    "set_from_fimi_text": "select item::bigint as item, count(*) as n from (select unnest(items) as item from transactions) where item is not null group by item",
-    "csr_roundtrip": """select l_suppkey as item, count(distinct l_orderkey) as support, min(l_orderkey) as first_tid, max(l_orderkey) as last_tid from lineitem group by l_suppkey""",
+    "bin_headerless": "select l_orderkey as k, count(*) as n from lineitem group by l_orderkey",
+    "set_from_fimi_text": """with t as (select db_id, tid, loaded_at, array_to_string(list_filter(items, lambda x: x is not null), ' ') as items from transactions)
+ select row_number() over (order by db_id nulls first, tid nulls first, loaded_at nulls first, items) - 1 as tid, items from t where items <> ''""",
+    "csr_roundtrip": "select distinct l_suppkey as item, l_orderkey as tid from lineitem",
+    "csr_meta": """select count(distinct l_orderkey) as n_transactions, count(distinct l_suppkey) as n_items, count(distinct (l_suppkey, l_orderkey)) as n_elements from lineitem""",
 }
+ORACLE["result_lines"] = ORACLE["q12_shaped"]
