@@ -12,8 +12,8 @@ from bagworks.llm.occurrences import basket_occurrences, baskets, long_occurrenc
 from bagworks.llm.overlap import set_overlaps
 from bagworks.llm.packing import Capacity, pack_documents
 from bagworks.llm.pairs import pair_counts
-from bagworks.llm.quantiles import quantiles_of, summarize
-from bagworks.llm.similar import classes, similar_classes, similar_pairs
+from bagworks.llm.quantiles import exact_quantiles, quantiles_of, summarize
+from bagworks.llm.similar import classes, pivot_cells, similar_classes, similar_pairs
 from bagworks.llm.subjects import assign_subjects
 from bagworks.llm.tokens import count_tokens
 from bagworks.plans.tables import table
@@ -88,26 +88,48 @@ def _timings(spark, d) -> DataFrame:
     r = table(spark, d, "run_records").where("run_id is not null and config_id is not null")
     r = r.groupBy("run_id").agg(F.min("loaded_at").alias("at"), F.max(F.struct("loaded_at", "config_id", "e2e_ms")).alias("x"))
     r = r.select(F.col("x.config_id").alias("config_id"), F.lit("e2e_ms").alias("metric"), F.to_date("at").alias("day"), F.col("x.e2e_ms").alias("ms"))
-    return b.unionByName(r).where("ms >= 0 and not isnan(ms)")
+    return materialize(b.unionByName(r).where("ms >= 0 and not isnan(ms)"))
 
 
-def _quantile_columns(q: DataFrame) -> DataFrame:
-    return q.select("config_id", "metric", F.col("n").alias("n_values"), *[F.col("quantiles")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(_PROBS)])
+_METRIC = ["config_id", "metric"]
+
+
+def _quantile_columns(q: DataFrame, *more: str) -> DataFrame:
+    return q.select(*_METRIC, F.col("n").alias("n_values"), *[F.col("quantiles")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(_PROBS)], *more)
 
 
 def p5_found(spark, d):
-    q = quantiles_of(summarize(_timings(spark, d), ["config_id", "metric"], "ms"), ["config_id", "metric"], [0.5, 0.95])
-    return q.where("quantiles[1] >= 3 * quantiles[0]").select("config_id", "metric")
+    """By the summaries' bounds, and exact where these leave it open."""
+    ms, probs = _timings(spark, d), [0.5, 0.95]
+    q = quantiles_of(summarize(ms, _METRIC, "ms"), _METRIC, probs)
+    return exact_quantiles(ms, _METRIC, "ms", q, probs).where("quantiles[1] >= 3 * quantiles[0]").select(*_METRIC)
 
 
 def p5_quantiles(spark, d):
-    return _quantile_columns(quantiles_of(summarize(_timings(spark, d), ["config_id", "metric"], "ms"), ["config_id", "metric"], _PROBS))
+    ms = _timings(spark, d)
+    return _quantile_columns(exact_quantiles(ms, _METRIC, "ms", quantiles_of(summarize(ms, _METRIC, "ms"), _METRIC, _PROBS), _PROBS))
 
 
 def p5_days_added(spark, d):
     """The same from summaries that were made and kept day by day."""
-    days = materialize(summarize(_timings(spark, d), ["config_id", "metric", "day"], "ms"))
-    return _quantile_columns(quantiles_of(days.drop("day"), ["config_id", "metric"], _PROBS))
+    ms = _timings(spark, d)
+    days = materialize(summarize(ms, [*_METRIC, "day"], "ms"))
+    return _quantile_columns(exact_quantiles(ms, _METRIC, "ms", quantiles_of(days.drop("day"), _METRIC, _PROBS), _PROBS))
+
+
+def p5_summaries(spark, d):
+    """What the summaries alone say: percentiles and the rank error that collapsing can have made."""
+    return _quantile_columns(quantiles_of(summarize(_timings(spark, d), _METRIC, "ms"), _METRIC, _PROBS), "rank_error")
+
+
+def p5_rank_check(spark, d):
+    """For each configuration, how many of its percentiles by summaries have a true rank beyond the error they name: none."""
+    ms = _timings(spark, d)
+    q = quantiles_of(summarize(ms, _METRIC, "ms"), _METRIC, _PROBS).select(*_METRIC, "n", "rank_error", F.posexplode("quantiles").alias("i", "q"))
+    r = ms.join(checked_broadcast(materialize(q)), _METRIC).groupBy(*_METRIC, "i", "n", "rank_error").agg(F.count_if(F.col("ms") < F.col("q")).alias("less"), F.count_if(F.col("ms") <= F.col("q")).alias("upto"), F.count(F.lit(1)).alias("counted"))
+    wanted = F.ceil(F.get(F.array(*[F.lit(p) for p in _PROBS]), F.col("i")) * F.col("n") - 1e-9)
+    off = (F.col("less") - F.col("rank_error") >= wanted) | (F.col("upto") + F.col("rank_error") < wanted) | (F.col("counted") != F.col("n"))
+    return r.groupBy(*_METRIC).agg(F.max("n").alias("n_values"), F.count_if(off).alias("beyond"))
 
 
 # Problem 6
@@ -132,6 +154,14 @@ def p6_members(spark, d):
     return m.join(c, ["h1", "h2"]).select("id", "class_id", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
+def p6_cells(spark, d):
+    """One row: how the pivots divide the records: cells of more than one record, the largest, records at home in them, and guests."""
+    own, guests = pivot_cells(_set_classes(spark, d), 7, 10)
+    per = own.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"), F.lit(0).alias("g"))
+    per = per.unionByName(guests.groupBy("p1", "p2").agg(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("radius"), F.count(F.lit(1)).alias("g")))
+    return per.agg(F.count_if(F.expr("n > 0")).alias("cells"), F.count_if(F.expr("n > 1")).alias("balls"), F.max("n").alias("largest"), F.sum("n").alias("members"), F.round(F.max("radius"), 4).alias("radius"), F.sum("g").alias("guests"))
+
+
 # Problem 7
 def p7_found(spark, d):
     return p7_leaders(spark, d).select("src", "owner_id", "item")
@@ -242,7 +272,7 @@ _SETS = """with l as (select * from (select *, row_number() over (partition by p
  f as (select id_1, id_2 from p join z a on a.id = id_1 join z b on b.id = id_2 where 10 * c >= 7 * (a.n + b.n - c))"""
 
 QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_counts": p1_counts, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p3_overlaps": p3_overlaps,
-    "p5_found": p5_found, "p5_quantiles": p5_quantiles, "p5_days_added": p5_days_added, "p6_found": p6_found, "p6_members": p6_members, "p7_found": p7_found, "p7_leaders": p7_leaders,
+    "p5_found": p5_found, "p5_quantiles": p5_quantiles, "p5_days_added": p5_days_added, "p5_summaries": p5_summaries, "p5_rank_check": p5_rank_check, "p6_found": p6_found, "p6_members": p6_members, "p6_cells": p6_cells, "p7_found": p7_found, "p7_leaders": p7_leaders,
     "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_composition": p10_composition,
 }
@@ -258,6 +288,7 @@ ORACLE = {
     "p5_found": f"{_TIMES} select config_id, metric from q where p95 >= 3 * p50",
     "p5_quantiles": f"{_TIMES} select * from q",
     "p5_days_added": f"{_TIMES} select * from q",
+    "p5_rank_check": f"{_TIMES} select config_id, metric, n_values, 0::bigint as beyond from q",
     "p6_found": f"{_SETS} select id_1, id_2 from f",
     "p6_members": f"""{_SETS}, c as (select vs, min(id) as class_id, count(*) as copies from z group by vs),
  k as (select z.id, class_id, copies from z join c using (vs)),

@@ -1,12 +1,15 @@
 """All similar pairs between set-valued records: metric pivot partitioning under Jaccard distance.
 
-Random sets are all at a distance near 1 from each other, so pivots drawn from the whole table can't tell them apart: every record
-would lie near every boundary. So records first meet in the cells of their rarest values: two sets that are similar enough share one
-of the first n - ceil(t n) + 1 values in order of frequency. Inside a cell, pivots are records of the cell. A pivot owns the records
-within RHO of it; by the triangle inequality a record as near as r to an owned one lies within RHO + r of the pivot, so those are
-replicated to its cell, and what no pivot owns is joined as the rest. Each cell is joined exactly, the distances to the pivot
-excluding pairs that differ by more than r there. Cells too large for a task are dealt to tasks by the same rule over a broadcast
-pivot table, and what is still too large by blocks of rows; nothing is left out.
+Every record has a home, the nearest pivot within RHO of the threshold's distance r, or itself where no pivot is so near: it is a pivot
+then. A pivot's cell holds its own records and, as guests, all others whose distance to the pivot is at most r more than the cell's
+radius: by the triangle inequality every record that is similar to an own record is among them. Cells are joined exactly; two
+records whose distances to the pivot differ by more than r are left out unseen.
+
+How many pivots: a ball of radius below 2/3 holds at most two sets that have no value in common (each needs more than a third of the
+pivot), so N unrelated records need at least N / 2 pivots, and looking at all of them for every record is no option.
+The pivots near a record are found by an index over values instead: two sets that are similar enough share one of their first
+n - ceil(t n) + 1 values in any order of values, here from rare to frequent. A pivot stands there under the first values of all its
+own records, once each, so a large group of near copies costs rows in proportion to it and meets others as one pivot.
 
 Exact copies are one class before any of this and are joined as one record.
 """
@@ -17,18 +20,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from bagworks.llm.arrays import changes, column, lists, mix64
+from bagworks.llm.arrays import column, lists, mix64
 from bagworks.operators.skew import salted_join
-from bagworks.session import materialize
+from bagworks.session import checked_broadcast, materialize
 
-#: Own radius of a pivot, rows of a cell up to which all its pairs are looked at, and rows a task takes of one cell.
-RHO, SMALL, CELL_ROWS = 0.4, 48, 20_000
-#: At most so many cells are split (the limit of rows rises if there are more), by so many pivots each.
-SPLIT_CELLS, SPLIT_PIVOTS = 1000, 16
+#: Radius of a pivot's own ball as a share of the threshold's distance (at a half, all its records are similar to each other), and
+#: first values of a record that are looked up for pivots.
+RHO, LOOKED_UP = 0.5, 3
+#: Values are ordered by counters over 2^22 hashes of them, held as one byte each: 4 MB are sent to every task at any size. Values of
+#: one counter only share their place in the order.
+RARITY_BITS = 22
+#: Rows of a value or of a cell from which on it is dealt to several tasks.
+CELL_ROWS = 20_000
 
 
 def classes(sets: DataFrame, id_col: str, values_col: str, min_size: int = 1) -> DataFrame:
@@ -41,200 +47,133 @@ def classes(sets: DataFrame, id_col: str, values_col: str, min_size: int = 1) ->
     return rows.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v"), F.lit("second")).alias("h2"), F.size("v").alias("n"), "v")
 
 
-def _take(off, flat, rows):
-    """The values of the rows, one after another, and the number of each value's place in `rows`."""
-    n = off[rows + 1] - off[rows]
-    at = np.repeat(off[rows] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    return flat[at], np.repeat(np.arange(len(rows)), n)
-
-
-def shared_counts(off, flat, p, q) -> np.ndarray:
-    """|p_i and q_i| of pairs of rows."""
-    out = np.zeros(len(p), np.int64)
-    for lo in range(0, len(p), 100_000):
-        a, i = _take(off, flat, p[lo : lo + 100_000])
-        b, j = _take(off, flat, q[lo : lo + 100_000])
-        v, i = np.concatenate((a, b)), np.concatenate((i, j))
-        order = np.lexsort((v, i))
-        v, i = v[order], i[order]
-        same = (v[1:] == v[:-1]) & (i[1:] == i[:-1])
-        out[lo : lo + 100_000] = np.bincount(i[1:][same], minlength=min(100_000, len(p) - lo))
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """A byte for each hash of a value, that grows with how many records hold a value of this hash: 0 none, 1 exactly one."""
+    size = 1 << RARITY_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, held, k = np.zeros(size, np.int64), [], 0
+
+        def fold() -> None:
+            nonlocal held, k
+            if held:
+                n[:] += np.bincount((mix64(np.concatenate(held).astype(np.int64)) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+            held, k = [], 0
+
+        for b in batches:
+            held.append(lists(b.column(0))[1])
+            k += len(held[-1])
+            if k > size:
+                fold()
+        fold()
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 1 << 16):
+            yield pa.record_batch([pa.array(at[i : i + (1 << 16)].astype(np.int32)), pa.array(n[at[i : i + (1 << 16)]])], names=["slot", "n"])
+
+    met = sets.select("v").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2^22 rows
+    out = np.zeros(size, np.uint8)
+    if met.num_rows:
+        out[column(met, "slot")] = 1 + np.floor(8 * np.log2(column(met, "n"))).astype(np.uint8)
     return out
 
 
-class Threshold:
-    """inter / union >= num / den in whole numbers."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den, self.r = num, den, 1 - num / den
-
-    def sizes(self, m, n):
-        return self.den * np.minimum(m, n) >= self.num * np.maximum(m, n)
-
-    def met(self, m, n, inter):
-        return (self.den + self.num) * inter >= self.num * (m + n)
-
-
-def _verified(t: Threshold, off, flat, n, p, q, out) -> None:
-    keep = t.sizes(n[p], n[q])
-    p, q = p[keep], q[keep]
-    if len(p):
-        c = shared_counts(off, flat, p, q)
-        ok = t.met(n[p], n[q], c)
-        out.append((p[ok], q[ok], c[ok]))
-
-
-def _within(t: Threshold, off, flat, n, rows, depth, out) -> None:
-    """All similar pairs among rows of one cell."""
-    if len(rows) <= SMALL or depth == 0:
-        for lo in range(0, len(rows), 512):  # blocks of the cell's triangle
-            p, q = np.meshgrid(np.arange(lo, min(lo + 512, len(rows))), np.arange(lo, len(rows)), indexing="ij")
-            up = q > p
-            _verified(t, off, flat, n, rows[p[up]], rows[q[up]], out)
-        return
-    pivots = rows[np.unique(np.linspace(0, len(rows) - 1, min(64, int(np.sqrt(len(rows))))).astype(int))]
-    free, split = rows, False
-    for pivot in pivots:
-        if len(free) <= SMALL:
-            break
-        c = shared_counts(off, flat, free, np.full(len(free), pivot))
-        d = 1 - c / (n[free] + n[pivot] - c)
-        near = d <= RHO + t.r + 1e-9
-        own = d <= RHO
-        if not own.any():
-            continue
-        split = True
-        # pairs with an owned row, both in this cell; |d(x) - d(y)| <= r for a pair
-        cell, dist, mine = free[near], d[near], own[near]
-        order = np.argsort(dist, kind="stable")
-        cell, dist, mine = cell[order], dist[order], mine[order]
-        stop = np.searchsorted(dist, dist + t.r + 1e-9, side="right")
-        for lo in range(0, len(cell), 256):
-            i = np.repeat(np.arange(lo, min(lo + 256, len(cell))), stop[lo : lo + 256] - np.arange(lo, min(lo + 256, len(cell))) - 1)
-            if len(i):
-                first = np.flatnonzero(changes(i))
-                j = i + 1 + np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
-                any_own = mine[i] | mine[j]
-                _verified(t, off, flat, n, cell[i[any_own]], cell[j[any_own]], out)
-        free = free[~own]
-    _within(t, off, flat, n, free, depth - 1 if split else 0, out)
-
-
-def _deal(rows: DataFrame, t: Threshold, cell_rows: int) -> DataFrame:
-    """Adds `sub` to (cell, ...) rows: 0, or the part of an oversized cell. Rows near a boundary come several times."""
-    spark = rows.sparkSession
-    size = materialize(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > cell_rows))
-    over = size.orderBy(F.desc("rows"), "cell").limit(SPLIT_CELLS).collect()
-    if not over:
-        return rows.withColumn("sub", F.lit(0).cast("bigint"))
-    many = F.broadcast(spark.createDataFrame(over))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("h1", "h2"))
-    # pivots: the first rows by hash, of a share of the cell by hash: at most SPLIT_CELLS x SPLIT_PIVOTS rows
-    sample = rows.join(many, "cell", "left_semi").where(F.pmod(F.xxhash64("h1", "h2"), F.lit(64)) == 0)
-    picked = sample.withColumn("rank", rank).where(F.col("rank") <= SPLIT_PIVOTS).select("cell", "v").collect()
-    pivots: dict[int, list[np.ndarray]] = {}
-    for cell, v in picked:
-        pivots.setdefault(cell, []).append(np.sort(np.asarray(v, np.int64)))
-    known = spark.sparkContext.broadcast(({c: n for c, n in over}, pivots))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, pivots = known.value
+def _with_front(spark: SparkSession, reps: DataFrame, rarity: np.ndarray, num: int, den: int) -> DataFrame:
+    """Adds `front`: each record's first n - ceil(t n) + 1 values in the order of rarity, without those that it alone holds."""
+    shared = spark.sparkContext.broadcast(rarity)
+
+    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
         for b in batches:
-            cells, h = column(b, "cell"), column(b, "h1")
+            if not b.num_rows:
+                continue
             off, flat = lists(b.column(b.schema.get_field_index("v")))
-            at, sub = [], []
-            for i, cell in enumerate(cells.tolist()):
-                if cell not in sizes:
-                    at.append(i), sub.append(0)
-                    continue
-                v = flat[off[i] : off[i + 1]]
-                blocks = -(-sizes[cell] // cell_rows)
-                mine, where = int(mix64(h[i : i + 1])[0] % np.uint64(blocks)), []
-                for k, p in enumerate(pivots.get(cell, [])):
-                    c = np.intersect1d(v, p, assume_unique=True).size
-                    d = 1 - c / (len(v) + len(p) - c)
-                    if d <= RHO + t.r + 1e-9:
-                        where.append(k + 1)
-                    if d <= RHO:
-                        break
-                else:
-                    where.append(0)
-                for k in where:  # pairs of blocks of one part: (lower, higher)
-                    for other in range(blocks):
-                        lo, hi = min(mine, other), max(mine, other)
-                        at.append(i), sub.append(1 + (k * blocks + lo) * blocks + hi)
-            take = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*take.columns, pa.array(sub, pa.int64())], names=[*b.schema.names, "sub"])
-
-    return rows.mapInArrow(deal, "cell bigint, h1 bigint, h2 bigint, n int, v array<bigint>, sub bigint")
+            flat = flat.astype(np.int64)
+            n = np.diff(off)
+            rec = np.repeat(np.arange(len(n)), n)
+            h = mix64(flat)
+            rare = rarity[(h & np.uint64(len(rarity) - 1)).astype(np.int64)]
+            order = np.lexsort((h, rare, rec))
+            place = np.arange(len(flat)) - off[rec]
+            keep = (place < (n + (-n * num) // den + 1)[rec]) & (rare[order] > 1)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(rec[keep], minlength=len(n)))))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[order][keep]))], names=[*b.schema.names, "front"])
 
+    return reps.mapInArrow(front, "h1 bigint, h2 bigint, n int, v array<bigint>, front array<bigint>")
+
+
+def _distance(n: str, m: str, v: str, w: str) -> Column:
+    c = F.size(F.array_intersect(v, w))
+    return 1 - c / (F.col(n) + F.col(m) - c)
+
+
+def _hot(df: DataFrame, *by: str, rows: int) -> DataFrame:
+    """Keys that so many rows have that a task of their own isn't enough: at most all rows / `rows`."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > rows).select(*by)
 
-def similar_classes(sets: DataFrame, num: int = 7, den: int = 10, *, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(a1, a2, b1, b2, n_a, n_b, shared): pairs of different classes with Jaccard similarity at least num / den, each once, exact.
 
-    sets: what `classes` gives, values BIGINT. Class a is the lesser by (h1, h2). No threshold at 0: num must be positive.
+def _homes(t: DataFrame, rho: float, cell_rows: int) -> DataFrame:
+    """(h1, h2, p1, p2, d): the nearest pivot, within rho, of each record that is no pivot itself. t: records with their front.
+
+    A pivot is the first by hash of the records whose rarest value is the same; the pivots of a record's first values are looked at.
+    """
+    heads = t.select("h1", "h2", F.posexplode(F.slice("front", 1, LOOKED_UP)).alias("pos", "value"))
+    lead = heads.where("pos = 0").groupBy("value").agg(F.min_by(F.struct("h1", "h2"), F.struct(F.xxhash64("h1", "h2"), "h1", "h2")).alias("p"), F.count(F.lit(1)).alias("c"))
+    lead = lead.where("c > 1").select("value", F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"), "c").join(t.select("h1", "h2", "n", "v"), ["h1", "h2"])
+    lead = materialize(lead.select("value", F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("n").alias("m"), F.col("v").alias("w"), "c"))
+    met = salted_join(heads.select("h1", "h2", "value"), lead.drop("c"), ["value"], hot=lead.where(F.col("c") > cell_rows).select("value"), salt_on=["h1", "h2"])
+    met = met.join(lead.select(F.col("p1").alias("h1"), F.col("p2").alias("h2")), ["h1", "h2"], "left_anti").join(t.select("h1", "h2", "n", "v"), ["h1", "h2"])
+    d = met.select("h1", "h2", F.struct(_distance("n", "m", "v", "w").alias("d"), "p1", "p2").alias("x")).where(F.col("x.d") <= rho + 1e-9)
+    return materialize(d.groupBy("h1", "h2").agg(F.min("x").alias("x")).select("h1", "h2", "x.p1", "x.p2", "x.d"))
+
+
+def pivot_cells(sets: DataFrame, num: int = 7, den: int = 10, *, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(own, guests): both (p1, p2, h1, h2, n, v, d), the records of each pivot's cell and their distance to it.
+
+    `own` has every record that stands in a cell of more than one record, in its home; `guests` those that are near enough to a cell's
+    records to be similar to one with a lesser (h1, h2).
     """
     if not 0 < num <= den:
         raise ValueError("the threshold must lie in (0, 1]")
-    t = Threshold(num, den)
-    reps = materialize(sets.groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("v").alias("v")))
-    long = reps.select("h1", "h2", "n", F.explode("v").alias("value"))
-    # values that one class alone has can't link; they only take places at the front of its order
-    df = materialize(long.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df >= 2"))
-    total = df.agg(F.sum("df")).first()[0] or 0
-    hot = df.where(F.col("df") >= max(1000, total // 1000)).select("value")  # at most 1000 values
-    ranked = salted_join(long, df, ["value"], hot=hot, salt_on=["h1"]).groupBy("h1", "h2", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
-    places = F.expr(f"n - cast(ceil(n * {num} / {den} - 1e-9) as int) + 1 - (n - size(common))")
-    front = ranked.withColumn("places", places).where("places > 0").select("h1", "h2", F.expr("transform(slice(common, 1, greatest(places, 0)), x -> x.value)").alias("cells"))
-    rows = materialize(front.join(reps, ["h1", "h2"]).select(F.explode("cells").alias("cell"), "h1", "h2", "n", "v"))
-    limit = max(cell_rows, rows.count() // SPLIT_CELLS + 1)
-    dealt = _deal(rows, t, limit)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(table: pa.Table) -> pa.RecordBatch | None:
-            cell, sub, h1, h2, n = (column(table, c) for c in ("cell", "sub", "h1", "h2", "n"))
-            off, flat = lists(table.column("v"))
-            start = np.flatnonzero(changes(cell, sub))
-            end = np.append(start[1:], len(cell))
-            width, out = end - start, []
-            small = width <= SMALL
-            stop = np.where(np.repeat(small, width), np.repeat(end, width), 0)
-            at, d = np.arange(len(cell)), 1
-            while len(at):  # all pairs of the small cells at once, by distance in the order
-                at = at[at + d < stop[at]]
-                if len(at):
-                    _verified(t, off, flat, n, at, at + d, out)
-                d += 1
-            for lo, hi in zip(start[~small], end[~small]):
-                _within(t, off, flat, n, np.arange(lo, hi), 8, out)
-            if not out:
-                return None
-            p, q, c = (np.concatenate(x) for x in zip(*out))
-            less = (h1[p] < h1[q]) | ((h1[p] == h1[q]) & (h2[p] < h2[q]))
-            p, q = np.where(less, p, q), np.where(less, q, p)
-            keep = (h1[p] != h1[q]) | (h2[p] != h2[q])
-            p, q, c = p[keep], q[keep], c[keep]
-            return pa.record_batch([pa.array(x) for x in (h1[p], h2[p], h1[q], h2[q], n[p].astype(np.int32), n[q].astype(np.int32), c)], names=["a1", "a2", "b1", "b2", "n_a", "n_b", "shared"])
-
-        held, size = [], 0
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                size += b.num_rows
-            if size < 20_000:
-                continue
-            table = pa.Table.from_batches(held)
-            cell, sub = column(table, "cell"), column(table, "sub")
-            cut = int(np.flatnonzero(changes(cell, sub))[-1])  # the last cell may go on
-            if cut:
-                if (one := pairs(table.slice(0, cut).combine_chunks())) is not None:
-                    yield one
-                held, size = table.slice(cut).to_batches(), table.num_rows - cut
-        if size and (one := pairs(pa.Table.from_batches(held).combine_chunks())) is not None:
-            yield one
-
-    placed = dealt.repartition("cell", "sub").sortWithinPartitions("cell", "sub", "h1", "h2")
-    return placed.mapInArrow(join, "a1 bigint, a2 bigint, b1 bigint, b2 bigint, n_a int, n_b int, shared bigint").distinct()
+    spark, r = sets.sparkSession, 1 - num / den
+    reps = sets.groupBy("h1", "h2").agg(F.first("n").alias("n"), F.first("v").alias("v"))
+    t = materialize(_with_front(spark, reps, _rarity(sets), num, den).where("size(front) > 0"))  # others are similar to none
+    home = _homes(t, RHO * r, cell_rows)
+    radius = home.groupBy("p1", "p2").agg(F.max("d").alias("radius"))
+    first = t.select("h1", "h2", "n", "front").join(checked_broadcast(home), ["h1", "h2"], "left")
+    own = lambda c, d: F.coalesce(F.col(c), F.col(d)).alias(c)
+    rows = materialize(first.select("h1", "h2", "n", own("p1", "h1"), own("p2", "h2"), F.explode("front").alias("value")))
+    pivots = rows.groupBy("value", "p1", "p2").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min(F.struct("h1", "h2")).alias("lowest"))
+    pivots = pivots.select("value", F.col("p1").alias("q1"), F.col("p2").alias("q2"), "least", "most", "lowest")
+    near = salted_join(rows, pivots, ["value"], hot=_hot(rows, "value", rows=cell_rows), salt_on=["h1", "h2"])
+    sizes = (F.col("n") * den >= F.col("least") * num) & (F.col("most") * den >= F.col("n") * num)
+    near = near.where(sizes & (F.col("lowest") < F.struct("h1", "h2")) & ((F.col("p1") != F.col("q1")) | (F.col("p2") != F.col("q2"))))
+    near = materialize(near.select(F.col("q1").alias("p1"), F.col("q2").alias("p2"), "h1", "h2").distinct())
+    record = t.select("h1", "h2", "n", "v")
+    pivot = record.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("n").alias("m"), F.col("v").alias("w"))
+    far = salted_join(near.join(record, ["h1", "h2"]), pivot, ["p1", "p2"], hot=_hot(near, "p1", "p2", rows=cell_rows), salt_on=["h1", "h2"])
+    far = far.select("p1", "p2", "h1", "h2", "n", "v", _distance("n", "m", "v", "w").alias("d")).join(radius, ["p1", "p2"], "left")
+    guests = materialize(far.where(F.col("d") <= F.coalesce("radius", F.lit(0.0)) + r + 1e-9).drop("radius"))
+    used = guests.select("p1", "p2").unionByName(home.select("p1", "p2")).distinct()
+    lone = used.select("p1", "p2", F.col("p1").alias("h1"), F.col("p2").alias("h2"), F.lit(0.0).alias("d"))
+    members = home.select("p1", "p2", "h1", "h2", "d").unionByName(lone)
+    return materialize(members.join(record, ["h1", "h2"]).select(*guests.columns)), guests
+
+
+def similar_classes(sets: DataFrame, num: int = 7, den: int = 10, *, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(a1, a2, b1, b2, n_a, n_b, shared): pairs of different classes with Jaccard similarity at least num / den, each once, exact.
+
+    sets: what `classes` gives, values BIGINT, best a written table. Class a is the lesser by (h1, h2), and the pair comes out in its
+    home's cell. No threshold at 0: num must be positive. Empty tables give no row.
+    """
+    own, guests = pivot_cells(sets, num, den, cell_rows=cell_rows)
+    r = 1 - num / den
+    a = own.select("p1", "p2", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("n").alias("n_a"), F.col("v").alias("va"), F.col("d").alias("da"))
+    b = own.unionByName(guests).select("p1", "p2", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("n_b"), F.col("v").alias("vb"), F.col("d").alias("db"))
+    both = salted_join(a, b, ["p1", "p2"], hot=_hot(own, "p1", "p2", rows=cell_rows), salt_on=["a1", "a2"])
+    both = both.where((F.struct("a1", "a2") < F.struct("b1", "b2")) & (F.abs(F.col("da") - F.col("db")) <= r + 1e-9))
+    both = both.where((F.greatest("n_a", "n_b") * num <= F.least("n_a", "n_b") * den))
+    both = both.select("a1", "a2", "b1", "b2", "n_a", "n_b", F.size(F.array_intersect("va", "vb")).cast("bigint").alias("shared"))
+    return both.where(F.col("shared") * (den + num) >= (F.col("n_a") + F.col("n_b")) * num)
 
 
 def similar_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
