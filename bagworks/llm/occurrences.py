@@ -17,9 +17,9 @@ def baskets(df: DataFrame, owner: str, record: str, items: str) -> DataFrame:
     return rows.where(F.size("items") > 0).groupBy("owner", "record").agg(F.max("items").alias("items"))
 
 
-def basket_occurrences(df: DataFrame, owner: str, record: str, items: str) -> DataFrame:
-    """(owner, record, term, slot) of list records, each record once."""
-    return baskets(df, owner, record, items).select("owner", "record", F.posexplode("items").alias("slot", "term")).select("owner", "record", "term", "slot")
+def basket_occurrences(base: DataFrame) -> DataFrame:
+    """(owner, record, term, slot) of what `baskets` gives."""
+    return base.select("owner", "record", F.posexplode("items").alias("slot", "term")).select("owner", "record", "term", "slot")
 
 
 def long_occurrences(df: DataFrame, owner: str, record: str, term: str, slot: str) -> DataFrame:

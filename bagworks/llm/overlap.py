@@ -1,30 +1,34 @@
 """Overlap sizes between many large sets: binary prefix tries with subtree counts.
 
 Values are mixed by a bijection of their unsigned 32-bit range, so a prefix of the mixed value is a hash range of even load. The
-ranges are dealt to tasks; in a task all sets' tries over its range are descended together, some bits a level. A node that only one
-set reaches is skipped: it is an empty branch for every partner. Where a set fills its whole subtree, the overlap with every other
-set there is the other's subtree count, and the pair goes no deeper; at a leaf every set is complete. No intersection is ever made,
+ranges are dealt to tasks, rows of a range travelling together as lists. For each range a task builds the tries of all sets once,
+bottom up: a node has, for each set that reaches it, the count of the set's values below it and their fingerprint. Then it descends
+all sets' tries together. A node that only one set reaches is an empty branch for every partner and is skipped. Two sets whose
+fingerprints and counts at a node are the same have the same values there: the overlap is the count, and no leaf is visited; one
+value alone is its own fingerprint, so nodes where every set has one value are settled where they stand. Where a set fills its whole
+subtree, the overlap with any other is the other's count. What is left goes deeper, at most to the leaves. No intersection is ever made,
 only counts per pair of sets, and the ranges' counts add up.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagworks.llm.arrays import changes, sum_by_key
+from bagworks.llm.arrays import changes, column, lists, mix64, sum_by_key
 from bagworks.session import checked_broadcast, materialize
 
 _MASK = np.uint64(0xFFFFFFFF)
-_STEP = 8  # bits a level
-#: Hash ranges are the values of so many leading bits; a task descends whole ranges of about so many rows at once, and hands pair counts
-#: on when it holds so many.
-_RANGE_BITS, _CHUNK, _PAIRS = 16, 1_000_000, 4_000_000
+_STEP = 6  # bits a level
+#: Values of a hash range, about; rows that a task sorts into ranges at once; pair counts that a task holds before it hands them on.
+RANGE_ROWS, _CHUNK, _PAIRS = 250_000, 2_000_000, 4_000_000
+#: Sets at a node from which on their pairs are products of blocks, and the width of such a block.
+_WIDE, _BLOCK = 64, 2048
 
 
 def mix32(k: np.ndarray) -> np.ndarray:
@@ -43,14 +47,15 @@ class PairCounter:
         self.n, self.fold_at = n_sets, fold
         self.dense = np.zeros(n_sets * n_sets, np.int64) if n_sets <= dense else None
         self.key, self.cnt, self.held, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        #: Entries (set at a node) that were skipped as empty branches, settled above the leaves, settled as leaves.
+        self.skipped = self.subtrees = self.leaves = 0
 
-    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> None:
+    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> None:
         """a != b, in any order."""
         if not len(a):
             return
-        key = np.minimum(a, b).astype(np.int64) * self.n + np.maximum(a, b)
-        self.held.append((key, np.ones(len(key), np.int64) if n is None else n.astype(np.int64)))
-        self.size += len(key)
+        self.held.append((np.minimum(a, b).astype(np.int64) * self.n + np.maximum(a, b), n.astype(np.int64)))
+        self.size += len(a)
         if self.size > self.fold_at:
             self.fold()
 
@@ -61,12 +66,8 @@ class PairCounter:
         self.held, self.size = [], 0
         if self.dense is not None:
             self.dense += np.bincount(key, weights=n, minlength=len(self.dense)).astype(np.int64)
-            return
-        key, n = np.concatenate((self.key, key)), np.concatenate((self.cnt, n))
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-        at = np.flatnonzero(changes(key))
-        self.key, self.cnt = key[at], np.add.reduceat(n, at)
+        else:
+            self.key, self.cnt = sum_by_key(np.concatenate((self.key, key)), np.concatenate((self.cnt, n)))
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         self.fold()
@@ -76,157 +77,238 @@ class PairCounter:
         return self.key // self.n, self.key % self.n, self.cnt
 
 
-def _node_pairs(counter: PairCounter, node: np.ndarray, sets: np.ndarray, size: np.ndarray, full: np.ndarray) -> None:
-    """Settles, at each node, every full set with every other set there. Entries are sorted by node; rows are (node, set, size)."""
-    start = np.flatnonzero(changes(node))
-    end = np.append(start[1:], len(node))
+def _pairs(counter: PairCounter, group: np.ndarray, sets: np.ndarray, size: np.ndarray, full: np.ndarray | None = None) -> None:
+    """Adds, for every two rows of a group (rows stand by group), the size of the first; with `full`, only pairs with a full row, and
+    the size of the other."""
+    start = np.flatnonzero(changes(group))
+    end = np.append(start[1:], len(group))
     width = end - start
-    wide = (width > 64) & (np.add.reduceat(full.astype(np.int64), start) == width) & (np.add.reduceat(size, start) == width)
-    if wide.any() and counter.n <= 4096:
-        # leaves that very many sets share: the products of a binary leaf-by-set block, a block of leaves at a time
-        leaves = np.flatnonzero(wide)
-        for lo in range(0, len(leaves), 1024):
-            part = leaves[lo : lo + 1024]
-            x = np.zeros((len(part), counter.n), np.float32)
-            rows = np.repeat(np.arange(len(part)), width[part])
-            at = np.concatenate([np.arange(start[i], end[i]) for i in part])
-            x[rows, sets[at]] = 1
-            g = np.triu((x.T @ x).astype(np.int64), 1)
-            a, b = np.nonzero(g)
-            counter.add(a, b, g[a, b])
-        keep = ~np.repeat(wide, width)
-        node, sets, size, full = node[keep], sets[keep], size[keep], full[keep]
-        if not len(node):
-            return
-        start = np.flatnonzero(changes(node))
-        end = np.append(start[1:], len(node))
-        width = end - start
+    wide = width > _WIDE if full is None else np.zeros(len(width), bool)
+    for lo in range(0, int(wide.sum()), 512):
+        # values that very many sets share: products of blocks of the binary group-by-set matrix
+        part = np.flatnonzero(wide)[lo : lo + 512]
+        at = np.concatenate([np.arange(start[i], end[i]) for i in part])
+        met, col = np.unique(sets[at], return_inverse=True)
+        row = np.repeat(np.arange(len(part)), width[part])
+        own = size[at].astype(np.float64)
+        for i in range(0, len(met), _BLOCK):
+            x = np.zeros((len(part), min(_BLOCK, len(met) - i)))
+            mine = (col >= i) & (col < i + _BLOCK)
+            x[row[mine], col[mine] - i] = own[mine]
+            for j in range(i, len(met), _BLOCK):
+                y = np.zeros((len(part), min(_BLOCK, len(met) - j)))
+                other = (col >= j) & (col < j + _BLOCK)
+                y[row[other], col[other] - j] = 1
+                g = np.rint(x.T @ y).astype(np.int64)
+                a, b = np.nonzero(np.triu(g, 1) if i == j else g)
+                counter.add(met[a + i], met[b + j], g[a, b])
+    thin = np.repeat(~wide, width)
     stop = np.repeat(end, width)
-    at, d = np.arange(len(node)), 1
+    at, d = np.flatnonzero(thin), 1
     while len(at):
         at = at[at + d < stop[at]]
         p, q = at, at + d
-        some = full[p] | full[q]
-        p, q = p[some], q[some]
-        counter.add(sets[p], sets[q], np.where(full[p], size[q], size[p]))
+        if full is not None:
+            some = full[p] | full[q]
+            p, q = p[some], q[some]
+            counter.add(sets[p], sets[q], np.where(full[p], size[q], size[p]))
+        else:
+            counter.add(sets[p], sets[q], size[p])
         d += 1
 
 
-def descend(mixed: np.ndarray, sets: np.ndarray, n_sets: int, counter: PairCounter) -> None:
-    """Counts, for each two sets, the values they share. (mixed, set) rows are distinct and sorted by (mixed, set)."""
-    depth = 0
-    while len(mixed):
-        depth = min(32, depth + _STEP)
-        prefix = (mixed >> np.uint64(32 - depth)).astype(np.int64)
-        if depth < 32:
-            key = prefix * n_sets + sets
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            at = np.flatnonzero(changes(key))
-            count = np.diff(np.append(at, len(key)))
-            node, owner = key[at] // n_sets, key[at] % n_sets
-        else:
-            node, owner, count = prefix, sets, np.ones(len(prefix), np.int64)
-        met = np.flatnonzero(changes(node))
-        width = np.diff(np.append(met, len(node)))
-        shared = np.repeat(width > 1, width)  # the rest are empty branches
-        full = count == (1 << (32 - depth))
-        use = shared & np.repeat(np.add.reduceat(full.astype(np.int64), met) > 0, width)
-        if use.any():
-            _node_pairs(counter, node[use], owner[use], count[use], full[use])
-        if depth == 32:
-            return
-        # deeper go the sets that aren't full, in nodes that two such sets share
-        left = shared & ~full
-        open_ = np.add.reduceat(left.astype(np.int64), met)
-        left &= np.repeat(open_ > 1, width)
-        go = np.zeros(len(mixed), bool)
-        go[order] = np.repeat(left, count)
-        mixed, sets = mixed[go], sets[go]
+class Level:
+    """The nodes of one depth: sorted by (node, set); the place of each one's parent in the level above is in `up`."""
 
+    def __init__(self, depth: int, node, sets, count, print_):
+        self.depth, self.node, self.sets, self.count, self.print = depth, node, sets, count, print_
+        self.up = np.zeros(0, np.int64)
 
-def set_overlaps(df: DataFrame, set_col: str, value_col: str, *, ranges: int | None = None) -> DataFrame:
-    """(set_a, set_b, shared, size_a, size_b): for each two sets with something in common, set_a < set_b, exact.
 
-    Set ids are strings, compared without outer blanks and case; values lie in 0..2^32-1 (others raise an error). Null ids and
-    values don't count, repeated values count once; empty tables give no row. `ranges`: tasks that the hash ranges are dealt to, by
-    default the session's shuffle partitions.
-    """
+def build(mixed: np.ndarray, sets: np.ndarray, n_sets: int, start: int) -> list[Level]:
+    """The tries of all sets below `start` bits, from the top level down. (mixed, set) rows are distinct and sorted."""
+    below = Level(32, mixed.astype(np.int64), sets.astype(np.int64), np.ones(len(mixed), np.int64), mix64(mixed))
+    out = [below]
+    depths = sorted(set(range(min(start + _STEP, 32), 32, _STEP)), reverse=True)
+    for depth in depths:
+        key = (below.node >> (below.depth - depth)) * n_sets + below.sets
+        order = np.argsort(key, kind="stable")
+        new = changes(key[order])
+        below.up = np.empty(len(key), np.int64)
+        below.up[order] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        first = key[order][at]
+        here = Level(depth, first // n_sets, first % n_sets, np.add.reduceat(below.count[order], at), np.add.reduceat(below.print[order], at))
+        out.append(here)
+        below = here
+    return out[::-1]
+
+
+def descend(levels: list[Level], counter: PairCounter) -> None:
+    """Counts, for each two sets, the values they share."""
+    open_ = None
+    for level in levels:
+        alive = np.ones(len(level.node), bool) if open_ is None else open_[level.up]
+        at = np.flatnonzero(alive)
+        node, sets, count, mark = level.node[at], level.sets[at], level.count[at], level.print[at]
+        open_ = np.zeros(len(level.node), bool)
+        if not len(at):
+            continue
+        start = np.flatnonzero(changes(node))
+        width = np.diff(np.append(start, len(node)))
+        each = lambda x: np.repeat(x, width)
+        met = width > 1
+        counter.skipped += int(width[~met].sum())
+        ones = np.maximum.reduceat(count, start) == 1
+        same = (np.minimum.reduceat(mark, start) == np.maximum.reduceat(mark, start)) & (np.minimum.reduceat(count, start) == np.maximum.reduceat(count, start))
+        done = each(met & (ones | same))
+        if done.any():
+            settled = int(done.sum())
+            counter.leaves += settled if level.depth == 32 else 0
+            counter.subtrees += settled if level.depth < 32 else 0
+            n, s, c, f = node[done], sets[done], count[done], mark[done]
+            order = np.lexsort((f, n))
+            n, s, c, f = n[order], s[order], c[order], f[order]
+            _pairs(counter, np.cumsum(changes(n, f)), s, c)
+        left = each(met & ~(ones | same))
+        full = count == (1 << (32 - level.depth))
+        use = left & each(np.maximum.reduceat(full, start))
+        if use.any():
+            counter.subtrees += int((use & full).sum())
+            _pairs(counter, node[use], sets[use], count[use], full[use])
+        open_[at[left & ~full]] = True
+
+
+def _overlaps(df: DataFrame, set_col: str, value_col: str, ranges: int | None) -> tuple[DataFrame, DataFrame]:
+    """(kind, x, y, n): by kind 0 values shared by sets x and y, 1 size of x, 2 entries by outcome x (0 skipped, 1 subtrees, 2 leaves);
+    and (x, name) of the sets. Sets go by a 64-bit hash of their name."""
     spark = df.sparkSession
+    name = F.upper(F.trim(F.col(set_col).cast("string"), F.lit(" \t\r\n")))
+    rows = df.select(name.alias("s"), F.col(value_col).cast("bigint").alias("k")).where("s is not null and k is not null")
+    names = rows.select(F.xxhash64("s").alias("x"), F.col("s").alias("name")).distinct()
+    bits = min(24, max(6, math.ceil(math.log2(max(rows.count(), 1) / RANGE_ROWS + 1))))
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.upper(F.trim(F.col(set_col).cast("string"), F.lit(" \t\r\n"))).alias("s"), F.col(value_col).cast("bigint").alias("k")).where("s is not null and k is not null")
-    # repeats, even a value that fills a third of the table, are gone on the map side, before the hash ranges are dealt
-    once = rows.distinct()
 
-    def mixed_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows as lists by hash range. Repeats, even a value that fills a third of the table, are gone before anything is shuffled."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            s, m = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((s, m))
+            s, m = s[order], m[order]
+            once = changes(m, s)
+            s, m = s[once], m[once]
+            r = (m >> (32 - bits)).astype(np.int32)
+            at = np.flatnonzero(changes(r))
+            for lo in range(0, len(at), 4096):
+                part = at[lo : lo + 4096]
+                end = at[lo + 4096] if lo + 4096 < len(at) else len(r)
+                off = pa.array(np.append(part, end) - part[0], pa.int32())
+                yield pa.record_batch([pa.array(r[part]), pa.ListArray.from_arrays(off, pa.array(s[part[0] : end])), pa.ListArray.from_arrays(off, pa.array(m[part[0] : end]))], names=["r", "s", "m"])
+
         for b in batches:
+            if not b.num_rows:
+                continue
             k = b.column(1).to_numpy(zero_copy_only=False)
-            if len(k) and (k.min() < 0 or k.max() > 0xFFFFFFFF):
+            if k.min() < 0 or k.max() > 0xFFFFFFFF:
                 raise ValueError("values must lie in 0..2^32-1")
-            m = mix32(k).astype(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(m), pa.array((m >> (32 - _RANGE_BITS)).astype(np.int32))], names=["s", "m", "r"])
+            held.append((b.column(0).to_numpy(zero_copy_only=False), mix32(k).astype(np.int64)))
+            size += len(k)
+            if size >= _CHUNK:
+                yield from dealt()
+                held, size = [], 0
+        if held:
+            yield from dealt()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[str, int] = {}  # of each set met in this task
-        names: list[str] = []
-        sizes = np.zeros(0, np.int64)
+        known = np.zeros(0, np.int64)  # hashes of the sets met, by number
+        sizes: dict[int, int] = {}
         key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        totals = np.zeros(3, np.int64)
 
-        def descended(rows: pa.Table) -> None:
-            nonlocal sizes, key, n
-            code = pc.dictionary_encode(rows.column("s").combine_chunks())
-            code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
-            local, ids = code.indices.to_numpy(zero_copy_only=False).astype(np.int64), code.dictionary.to_pylist()
-            mixed = rows.column("m").to_numpy().astype(np.uint64)
-            order = np.lexsort((local, mixed))
+        def descended(parts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+            nonlocal known, key, n, totals
+            s, m = (np.concatenate(x) for x in zip(*parts))
+            ids, local = np.unique(s, return_inverse=True)
+            order = np.lexsort((local, m))
+            local, m = local[order], m[order]
+            once = changes(m, local)
+            local, m = local[once], m[once]
             counter = PairCounter(len(ids))
-            descend(mixed[order], local[order], len(ids), counter)
+            descend(build(m.astype(np.uint64), local, len(ids), bits), counter)
+            totals += (counter.skipped, counter.subtrees, counter.leaves)
+            for i, c in zip(ids.tolist(), np.bincount(local, minlength=len(ids)).tolist()):
+                sizes[i] = sizes.get(i, 0) + c
             a, b, c = counter.result()
-            for s in ids:
-                if s not in number:
-                    number[s] = len(names)
-                    names.append(s)
-            to = np.array([number[s] for s in ids], np.int64)
-            sizes = np.concatenate((sizes, np.zeros(len(names) - len(sizes), np.int64)))
-            sizes += np.bincount(to, weights=np.bincount(local, minlength=len(ids)), minlength=len(names)).astype(np.int64)
+            if not np.isin(ids, known, assume_unique=True).all():
+                now = np.union1d(known, ids)
+                to = np.searchsorted(now, known)
+                key = (to[key >> 32] << 32) | to[key & 0xFFFFFFFF]
+                known = now
+            to = np.searchsorted(known, ids)
             key, n = sum_by_key(np.concatenate((key, (to[a] << 32) | to[b])), np.concatenate((n, c)))
 
-        def told(last: bool) -> Iterator[pa.RecordBatch]:
+        def told() -> Iterator[pa.RecordBatch]:
             nonlocal key, n
-            ids = pa.array(names, pa.string())
             for i in range(0, len(key), 1 << 16):
                 k = key[i : i + (1 << 16)]
-                yield pa.record_batch([ids.take(pa.array(k >> 32)), ids.take(pa.array(k & 0xFFFFFFFF)), pa.array(n[i : i + (1 << 16)], pa.int64())], names=["x", "y", "n"])
+                yield pa.record_batch([pa.array(np.zeros(len(k), np.int8)), pa.array(known[k >> 32]), pa.array(known[k & 0xFFFFFFFF]), pa.array(n[i : i + (1 << 16)])], names=["kind", "x", "y", "n"])
             key, n = key[:0], n[:0]
-            if last and names:
-                yield pa.record_batch([ids, pa.nulls(len(names), pa.string()), pa.array(sizes, pa.int64())], names=["x", "y", "n"])
 
-        held, size = [], 0
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
         for b in batches:
-            if b.num_rows:
-                held.append(b)
-                size += b.num_rows
-            if size < _CHUNK:
-                continue
-            rows = pa.Table.from_batches(held)
-            r = rows.column("r").to_numpy()
-            cut = int(np.flatnonzero(changes(r))[-1])  # the last range may go on
-            if cut:
-                descended(rows.slice(0, cut))
-                held, size = rows.slice(cut).to_batches(), rows.num_rows - cut
-            if len(key) > _PAIRS:
-                yield from told(False)
-        if size:
-            descended(pa.Table.from_batches(held))
-        yield from told(True)
-
-    dealt = once.mapInArrow(mixed_of, "s string, m bigint, r int").repartition(ranges, "r").sortWithinPartitions("r")
-    part = dealt.mapInArrow(count, "x string, y string, n bigint")
-    sums = materialize(part.groupBy(F.least("x", "y").alias("set_a"), F.when(F.col("y").isNotNull(), F.greatest("x", "y")).alias("set_b")).agg(F.sum("n").alias("n")))
-    size = checked_broadcast(sums.where("set_b is null").select(F.col("set_a").alias("s"), F.col("n").alias("size")))
-    pairs = sums.where("set_b is not null").withColumnRenamed("n", "shared")
-    return (
-        pairs.join(size.select(F.col("s").alias("set_a"), F.col("size").alias("size_a")), "set_a")
-        .join(size.select(F.col("s").alias("set_b"), F.col("size").alias("size_b")), "set_b")
-        .select("set_a", "set_b", "shared", "size_a", "size_b")
-    )
+            r = column(b, "r").tolist()
+            off, s = lists(b.column(b.schema.get_field_index("s")))
+            _, m = lists(b.column(b.schema.get_field_index("m")))
+            for i, x in enumerate(r):
+                if x != now and parts:
+                    descended(parts)
+                    parts = []
+                    if len(key) > _PAIRS:
+                        yield from told()
+                now = x
+                parts.append((s[off[i] : off[i + 1]], m[off[i] : off[i + 1]]))
+        if parts:
+            descended(parts)
+        yield from told()
+        x = np.array([*sizes, 0, 1, 2], np.int64)
+        kind = np.array([1] * len(sizes) + [2] * 3, np.int8)
+        yield pa.record_batch([pa.array(kind), pa.array(x), pa.array(np.zeros(len(x), np.int64)), pa.array(np.array([*sizes.values(), *totals], np.int64))], names=["kind", "x", "y", "n"])
+
+    dealt = rows.select(F.xxhash64("s").alias("s"), "k").mapInArrow(deal, "r int, s array<bigint>, m array<bigint>")
+    part = dealt.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(count, "kind tinyint, x bigint, y bigint, n bigint")
+    low, high = F.when(F.col("kind") == 0, F.least("x", "y")).otherwise(F.col("x")), F.greatest("x", "y")
+    sums = part.groupBy("kind", low.alias("x"), F.when(F.col("kind") == 0, high).alias("y")).agg(F.sum("n").alias("n"))
+    return materialize(sums), names
+
+
+def set_overlaps(df: DataFrame, set_col: str, value_col: str, *, min_share: float = 0.0, ranges: int | None = None) -> DataFrame:
+    """(set_a, set_b, shared, size_a, size_b): for each two sets with something in common, set_a < set_b, exact.
+
+    Set ids are strings, compared without outer blanks and case; values lie in 0..2^32-1 (others raise an error). Null ids and
+    values don't count, repeated values count once; empty tables give no row. With `min_share` only pairs that share at least that part
+    of the smaller set. `ranges`: tasks that the hash ranges are dealt to, by default the session's shuffle partitions.
+    """
+    sums, names = _overlaps(df, set_col, value_col, ranges)
+    size = materialize(sums.where("kind = 1").select("x", F.col("n").alias("size")).join(names, "x"))
+    size = checked_broadcast(size)
+    pairs = sums.where("kind = 0").select("x", "y", F.col("n").alias("shared"))
+    a = size.select("x", F.col("name").alias("a"), F.col("size").alias("na"))
+    b = size.select(F.col("x").alias("y"), F.col("name").alias("b"), F.col("size").alias("nb"))
+    out = pairs.join(a, "x").join(b, "y")
+    if min_share > 0:
+        out = out.where(F.col("shared") >= F.lit(float(min_share) - 1e-12) * F.least("na", "nb"))
+    first = F.col("a") < F.col("b")
+    pick = lambda u, v: F.when(first, F.col(u)).otherwise(F.col(v))
+    return out.select(pick("a", "b").alias("set_a"), pick("b", "a").alias("set_b"), "shared", pick("na", "nb").alias("size_a"), pick("nb", "na").alias("size_b"))
+
+
+def descent_report(df: DataFrame, set_col: str, value_col: str) -> DataFrame:
+    """(outcome, entries): how many entries, a set at a node, were skipped as empty branches, settled by their subtrees' counts above the
+    leaves, and settled as leaves."""
+    sums, _ = _overlaps(df, set_col, value_col, None)
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("skipped", "subtree", "leaf")]), (F.col("x") + 1).cast("int"))
+    return sums.where("kind = 2").select(outcome.alias("outcome"), F.col("n").alias("entries"))

@@ -108,16 +108,17 @@ def best_fit(sizes: np.ndarray, cap: Capacity) -> np.ndarray:
 _OUT = "id bigint, piece int, n_tokens bigint, level int, shard bigint, bin int, kept boolean"
 
 
-def _pack(df: DataFrame, level: int, cap: Capacity, final: bool) -> DataFrame:
-    """df: (id, piece, n_tokens, shard)."""
+def _pack(df: DataFrame, level: int, cap: Capacity) -> DataFrame:
+    """df: (id, piece, n_tokens, shard). `kept`: the container is full enough; the others may be packed again with other shards'."""
 
     def pack(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["n_tokens", "id", "piece"], ascending=[False, True, True], ignore_index=True)
         f["bin"] = best_fit(f["n_tokens"].to_numpy(np.int64), cap)
         f["level"] = level
-        by = f.groupby("bin")["n_tokens"].agg(["sum", "size"])
-        full = (by["sum"] >= REPACK_BELOW * cap.tokens) | (by["size"] >= cap.items)
-        f["kept"] = True if final else f["bin"].map(full)
+        f["cost"] = f["n_tokens"].astype(float) ** 2
+        by = f.groupby("bin").agg(n=("n_tokens", "sum"), k=("n_tokens", "size"), c=("cost", "sum"))
+        full = (by["n"] >= REPACK_BELOW * cap.tokens) | (by["k"] >= cap.items) | (by["c"] >= REPACK_BELOW * cap.most_cost)
+        f["kept"] = f["bin"].map(full)
         return f[["id", "piece", "n_tokens", "level", "shard", "bin", "kept"]]
 
     return df.groupBy("shard").applyInPandas(pack, _OUT)
@@ -128,6 +129,10 @@ def pack_documents(sizes: DataFrame, cap: Capacity = Capacity(), *, id_col: str
 
     sizes: (doc_id BIGINT unique, n_tokens). Null ids give no row; null sizes count 0; items of size 0 take a place and no tokens.
     `place` counts a container's items from 0, `start` is the item's first token there. Deterministic for the same rows.
+
+    A level deals what is left to shards of about `shard_items` items, however many shards that takes; the items of containers that
+    aren't full enough are packed again at the next level, dealt anew. Where a level saves less than one container in two hundred,
+    its items can't fill containers better, and the levels end with what they made.
     """
     rows = sizes.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.greatest(F.coalesce(F.col("n_tokens").cast("bigint"), F.lit(0)), F.lit(0)).alias("n"))
     c = cap.tokens
@@ -135,19 +140,27 @@ def pack_documents(sizes: DataFrame, cap: Capacity = Capacity(), *, id_col: str
     rows = rows.select("id", "n", F.explode(pieces).alias("p")).select("id", F.col("p").cast("int").alias("piece"), F.least(F.col("n") - F.col("p") * c, F.lit(c)).cast("bigint").alias("n_tokens"))
     rows = materialize(rows)
     whole = rows.where(F.col("n_tokens") >= c).select("id", "piece", "n_tokens", F.lit(0).alias("level"), F.col("id").alias("shard"), F.col("piece").alias("bin"))
-    part = rows.where(F.col("n_tokens") < c)
-    shards = max(1, math.ceil(part.count() / shard_items))
-    kept, level = [whole], 1
-    left = part.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
-    while True:
-        packed = materialize(_pack(left, level, cap, final=shards == 1))
-        kept.append(packed.where("kept").drop("kept"))
-        if shards == 1:
+    kept, level, before, last = [whole], 1, None, None
+    left = rows.where(F.col("n_tokens") < c).select("id", "piece", "n_tokens")
+    n_left = left.count()
+    while n_left:
+        shards = math.ceil(n_left / shard_items)
+        # shards by a hash of the level; a shard's items vary by chance about shard_items
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), "id", "piece"), F.lit(shards)))
+        packed = materialize(_pack(dealt, level, cap))
+        of = packed.groupBy("shard", "bin", "kept").agg(F.count(F.lit(1)).alias("k")).groupBy("kept").agg(F.count(F.lit(1)).alias("bins"), F.sum("k").alias("items"))
+        made = {r.kept: (r.bins, r["items"]) for r in of.collect()}
+        if before is not None and sum(n for n, _ in made.values()) * 200 > before * 199:
+            kept.append(last)  # dealing anew doesn't help: the level before stands as it was
             break
-        left = packed.where("not kept").select("id", "piece", "n_tokens", "shard")
-        shards = min(max(1, math.ceil(left.count() / shard_items)), max(1, shards // 2))
+        if shards == 1 or not made.get(False):
+            kept.append(packed.drop("kept"))
+            break
+        kept.append(packed.where("kept").drop("kept"))
+        last = packed.where("not kept").drop("kept")
+        left = last.select("id", "piece", "n_tokens")
+        before, n_left = made[False]
         level += 1
-        left = left.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), "id", "piece"), F.lit(shards)))
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)

@@ -64,17 +64,22 @@ def _expand(owner, off, items, record, blocks, salts) -> pa.RecordBatch | None:
     return pa.record_batch([pa.array(o, pa.int32()), pa.array(blk[at], pa.int32()), pa.array(salt, pa.int32()), pa.array(blocks[rec[at]], pa.int32()), pa.array(salts[rec[at]] > 1, pa.bool_()), arr], names=["owner", "block", "salt", "blocks", "split", "items"])
 
 
-def _products(off, items, in_block) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (a, b), a before b in a record and a in the block: one diagonal of the record blocks' products after another."""
+def _products(off, items, in_block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (a, b), a before b in a record and a in the block: one diagonal of the record blocks' products after another, in pieces
+    of about FOLD pairs, so neither many nor very long records are held as pairs at once."""
     end = np.repeat(off[1:], np.diff(off))
-    a_at = np.flatnonzero(in_block)
-    a, b, d = [], [], 1
-    while len(a_at):
-        a_at = a_at[a_at + d < end[a_at]]
-        a.append(items[a_at])
-        b.append(items[a_at + d])
-        d += 1
-    return np.concatenate(a or [items[:0]]), np.concatenate(b or [items[:0]])
+    own = np.flatnonzero(in_block)
+    before = np.cumsum(end[own] - own - 1)
+    cuts = np.flatnonzero(np.diff(before // FOLD)) + 1
+    for a_at in np.split(own, cuts):
+        a, b, d = [], [], 1
+        while len(a_at):
+            a_at = a_at[a_at + d < end[a_at]]
+            a.append(items[a_at])
+            b.append(items[a_at + d])
+            d += 1
+        if a:
+            yield np.concatenate(a), np.concatenate(b)
 
 
 def pair_counts(base: DataFrame, min_support: int = 1, min_lift: float = 0.0, *, dictionary_rows: int = DICTIONARY_ROWS) -> DataFrame:
@@ -169,8 +174,7 @@ def pair_counts(base: DataFrame, min_support: int = 1, min_lift: float = 0.0, *,
                     now, split = this, bool(parts[lo])
                 own = items[off[lo] : off[hi]]
                 in_block = mix64(own.astype(np.int64)) % np.uint64(max(int(blocks[lo]), 1)) == np.uint64(this[1])
-                a, p = _products(off[lo : hi + 1] - off[lo], own, in_block)
-                if len(a):
+                for a, p in _products(off[lo : hi + 1] - off[lo], own, in_block):
                     held_a.append(a)
                     held_b.append(p)
                     held += len(a)

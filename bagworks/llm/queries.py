@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bagworks.llm.frequencies import term_frequencies
 from bagworks.llm.leaders import leading_terms
 from bagworks.llm.mixing import mix_sources, shares_report
 from bagworks.llm.occurrences import basket_occurrences, baskets, long_occurrences
-from bagworks.llm.overlap import set_overlaps
+from bagworks.llm.overlap import descent_report, set_overlaps
 from bagworks.llm.packing import Capacity, pack_documents
 from bagworks.llm.pairs import pair_counts
 from bagworks.llm.quantiles import exact_quantiles, quantiles_of, summarize
@@ -20,29 +21,34 @@ from bagworks.plans.tables import table
 from bagworks.session import checked_broadcast, materialize
 
 
+def _baskets(spark, d) -> DataFrame:
+    """The transactions, each once; written, as every operator on them reads them more than once."""
+    return materialize(baskets(table(spark, d, "transactions"), "db_id", "tid", "items"))
+
+
 def _sources(spark, d) -> dict[str, DataFrame]:
     return {
-        "transactions": basket_occurrences(table(spark, d, "transactions"), "db_id", "tid", "items"),
+        "transactions": basket_occurrences(_baskets(spark, d)),
         "tidset_entries": long_occurrences(table(spark, d, "tidset_entries"), "file_id", "tid", "item", "pos"),
     }
 
 
 # Problem 1
 def p1_found(spark, d):
-    base = baskets(table(spark, d, "transactions"), "db_id", "tid", "items")
+    base = _baskets(spark, d)
     return pair_counts(base, 15, 4.0).select(F.col("owner").alias("db_id"), "item_a", "item_b")
 
 
 def p1_pairs(spark, d):
     """Pairs in at least 15 transactions, with their lift in thousandths (floor of 1000 c_ab n / (c_a c_b))."""
-    base = baskets(table(spark, d, "transactions"), "db_id", "tid", "items")
+    base = _baskets(spark, d)
     lift = F.expr("(1000 * c_ab * n) div (c_a * c_b)").alias("lift_milli")
     return pair_counts(base, 15).select(F.col("owner").alias("db_id"), "item_a", "item_b", "c_ab", "c_a", "c_b", "n", lift)
 
 
 def p1_counts(spark, d):
     """Every two items that stand together in a transaction, however rarely, with their lift in thousandths."""
-    base = baskets(table(spark, d, "transactions"), "db_id", "tid", "items")
+    base = _baskets(spark, d)
     lift = F.expr("(1000 * c_ab * n) div (c_a * c_b)").alias("lift_milli")
     return pair_counts(base, 1).select(F.col("owner").alias("db_id"), "item_a", "item_b", "c_ab", "c_a", "c_b", "n", lift)
 
@@ -66,14 +72,17 @@ def p2_frequencies(spark, d):
 
 # Problem 3
 def p3_found(spark, d):
-    o = set_overlaps(table(spark, d, "kmer_sets"), "set_id", "k")
-    return o.where("10 * shared >= 3 * least(size_a, size_b)").select("set_a", "set_b")
+    return set_overlaps(table(spark, d, "kmer_sets"), "set_id", "k", min_share=0.3).select("set_a", "set_b")
 
 
 def p3_overlaps(spark, d):
     return set_overlaps(table(spark, d, "kmer_sets"), "set_id", "k")
 
 
+def p3_descent(spark, d):
+    return descent_report(table(spark, d, "kmer_sets"), "set_id", "k")
+
+
 # Problem 5
 _PROBS = [0.5, 0.9, 0.95, 0.99]
 
@@ -197,6 +206,38 @@ def p8_fill(spark, d):
     return bins.agg(F.count(F.lit(1)).alias("containers"), full.alias("fewest"), F.sum("t").alias("tokens"), F.max("t").alias("most_tokens"), F.max("k").alias("most_items"), F.round(F.sum("t") / (F.count(F.lit(1)) * CAPACITY.tokens), 4).alias("fill"))
 
 
+#: Fewer places, and a cost at which sixteen items of a sixteenth of the tokens, or one of a quarter and few others, are enough.
+TIGHT = Capacity(tokens=8192, items=24, cost=8192.0**2 / 8)
+
+
+def p8_tight(spark, d):
+    """Containers in which places and attention cost bind too."""
+    return pack_documents(count_tokens(table(spark, d, "documents")), TIGHT)
+
+
+def _packing_faults(packed: DataFrame, docs: DataFrame, cap: Capacity) -> DataFrame:
+    """One row: documents, and what breaks the rules of packing: containers over a capacity, places and starts that don't follow one
+    another, documents that don't come out whole or whose pieces aren't full but for the last."""
+    w = Window.partitionBy("container_id").orderBy("place")
+    rows = packed.withColumns({"at": F.row_number().over(w) - 1, "before": F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    per = rows.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("c"), F.count_if((F.col("at") != F.col("place")) | (F.col("before") != F.col("start"))).alias("gaps"))
+    bins = per.agg(F.count_if(F.col("t") > cap.tokens).alias("over_tokens"), F.count_if(F.col("k") > cap.items).alias("over_places"), F.count_if((F.col("c") > cap.most_cost) & (F.col("k") > 1)).alias("over_cost"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps"))
+    last = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("distinct"), F.max("piece").alias("top"), F.count_if(F.col("n_tokens") == cap.tokens).alias("full"), F.sum("n_tokens").alias("t"))
+    whole = (F.col("pieces") == F.col("distinct")) & (F.col("top") == F.col("pieces") - 1) & (F.col("full") >= F.col("pieces") - 1) & (F.col("t") == F.col("n_tokens"))
+    met = docs.join(last, "doc_id", "left").agg(F.count(F.lit(1)).alias("documents"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("not_whole"))
+    out = bins.select(*[F.col(c).cast("bigint").alias(c) for c in ("over_tokens", "over_places", "over_cost", "gaps")], F.lit(0).cast("bigint").alias("documents"), F.lit(0).cast("bigint").alias("not_whole"))
+    out = out.unionByName(met.select(*[F.lit(0).cast("bigint").alias(c) for c in ("over_tokens", "over_places", "over_cost", "gaps")], "documents", "not_whole"))
+    return out.agg(*[F.sum(c).alias(c) for c in out.columns])
+
+
+def _packing_check(cap):
+    def check(spark, d):
+        sized = materialize(count_tokens(table(spark, d, "documents")))
+        return _packing_faults(materialize(pack_documents(sized, cap)), sized, cap)
+
+    return check
+
+
 # Problem 9
 def _sized(spark, d) -> DataFrame:
     return materialize(count_tokens(table(spark, d, "documents"), keep=("doc_id", "source")))
@@ -211,9 +252,25 @@ def p9_shares(spark, d):
     return shares_report(mix_sources(sized, targets), sized, targets)
 
 
+def p9_check(spark, d):
+    """For each source of `source_targets` whether the mixture keeps its rules: no more repeats than allowed, and the wanted share of the
+    tokens, or else all that the source can give."""
+    sized, targets = _sized(spark, d), table(spark, d, "source_targets")
+    r = shares_report(mix_sources(sized, targets), sized, targets)
+    most = F.col("available_tokens") * F.col("max_repeats")
+    fits = (F.col("top_repeat") <= F.col("max_repeats")) & (F.col("used_tokens") <= most) & ((F.col("actual_share") >= F.col("target_share") - 0.02) | (F.col("used_tokens") >= 0.97 * most))
+    return r.select("source", "target_share", "max_repeats", fits.alias("fits"))
+
+
 # Problem 10
+#: Most subject areas; each has a classifier of its own.
+MAX_SUBJECTS = 1000
+
+
 def _subjects(spark, d) -> DataFrame:
-    names = [r[0] for r in table(spark, d, "subjects").where("subject is not null").select("subject").distinct().limit(1000).collect()]
+    names = [r[0] for r in table(spark, d, "subjects").where("subject is not null").select("subject").distinct().limit(MAX_SUBJECTS + 1).collect()]
+    if len(names) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     return assign_subjects(table(spark, d, "documents"), table(spark, d, "subject_labels"), names)
 
 
@@ -229,7 +286,7 @@ def p10_composition(spark, d):
     return s.join(n, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum(1 / F.col("k")), 1).alias("docs_shared"), F.round(F.sum(F.col("n_chars") / F.col("k")), 1).alias("chars_shared"))
 
 
-_BASKETS = """with o as (select distinct db_id, tid, item from (select db_id, tid, unnest(items) as item from transactions
+_BASKET_SQL = """with o as (select distinct db_id, tid, item from (select db_id, tid, unnest(items) as item from transactions
   where db_id is not null and tid is not null) where item is not null),
  n as (select db_id, count(distinct tid) as n from o group by db_id),
  c as (select db_id, item, count(*) as c from o group by db_id, item),
@@ -271,14 +328,18 @@ _SETS = """with l as (select * from (select *, row_number() over (partition by p
  p as (select x.id as id_1, y.id as id_2, count(*) as c from t x join t y on x.v = y.v and x.id < y.id group by x.id, y.id),
  f as (select id_1, id_2 from p join z a on a.id = id_1 join z b on b.id = id_2 where 10 * c >= 7 * (a.n + b.n - c))"""
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_counts": p1_counts, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p3_overlaps": p3_overlaps,
+_PACKED = """select 0::bigint as over_tokens, 0::bigint as over_places, 0::bigint as over_cost, 0::bigint as gaps, count(*) as documents, 0::bigint as not_whole
+ from documents where doc_id is not null"""
+
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_counts": p1_counts, "p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p3_overlaps": p3_overlaps, "p3_descent": p3_descent,
     "p5_found": p5_found, "p5_quantiles": p5_quantiles, "p5_days_added": p5_days_added, "p5_summaries": p5_summaries, "p5_rank_check": p5_rank_check, "p6_found": p6_found, "p6_members": p6_members, "p6_cells": p6_cells, "p7_found": p7_found, "p7_leaders": p7_leaders,
-    "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_tight": p8_tight, "p8_check": _packing_check(CAPACITY), "p8_tight_check": _packing_check(TIGHT),
+    "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_check": p9_check,
     "p10_found": p10_found, "p10_composition": p10_composition,
 }
 ORACLE = {
-    "p1_found": f"{_BASKETS} select db_id, item_a, item_b from p where c_ab * n >= 4 * c_a * c_b",
-    "p1_pairs": f"{_BASKETS} select db_id, item_a, item_b, c_ab, c_a, c_b, n, ((1000 * c_ab * n) // (c_a * c_b))::bigint as lift_milli from p",
+    "p1_found": f"{_BASKET_SQL} select db_id, item_a, item_b from p where c_ab * n >= 4 * c_a * c_b",
+    "p1_pairs": f"{_BASKET_SQL} select db_id, item_a, item_b, c_ab, c_a, c_b, n, ((1000 * c_ab * n) // (c_a * c_b))::bigint as lift_milli from p",
     "p1_counts": f"{_TOGETHER} select db_id, item_a, item_b, c_ab, c_a, c_b, n, ((1000 * c_ab * n) // (c_a * c_b))::bigint as lift_milli from p",
     "p3_found": f"{_OVERLAPS} select set_a, set_b from p where 10 * shared >= 3 * least(size_a, size_b)",
     "p3_overlaps": f"{_OVERLAPS} select set_a, set_b, shared, size_a, size_b from p",
@@ -295,6 +356,9 @@ ORACLE = {
  e as (select distinct a.class_id as x, b.class_id as y from f join k a on a.id = id_1 join k b on b.id = id_2 where a.class_id <> b.class_id),
  n as (select x, count(distinct y) as links from (select x, y from e union select y, x from e) group by x)
  select id, class_id, copies, coalesce(links, 0)::bigint as links from k left join n on x = class_id""",
+    "p8_check": _PACKED,
+    "p8_tight_check": _PACKED,
+    "p9_check": r"select regexp_replace(lower(trim(source)), '[\s_\-]+', '-', 'g') as source, target_share, max_repeats, true as fits from source_targets where source is not null",
     "p7_found": f"{_OCC} select src, owner_id, item from c join n using (src, owner_id) where occurrences * 100 >= total",
     "p7_leaders": f"{_OCC} select src, owner_id, item, occurrences, total as owner_occurrences from c join n using (src, owner_id) where occurrences * 100 >= total",
 }

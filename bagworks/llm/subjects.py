@@ -33,6 +33,8 @@ from bagworks.session import materialize
 
 #: Labelled documents and terms that the model is fitted on; different documents from which on a window is copied.
 TRAIN_DOCS, MAX_TERMS, COPIES = 20_000, 20_000, 4
+#: Sources that have a feature of their own, the leading ones of the labelled documents; the others share one.
+MAX_SOURCES = 200
 #: Copied windows whose hashes are sent to every task (8 bytes each).
 COPIED_ROWS = 500_000
 #: Share of the cells of prose and code, of the longer of two documents, that stand alike in the same place (from the start or the end) of
@@ -382,7 +384,7 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: list[str], *,
     labelled = materialize(read.join(F.broadcast(lab), "doc_id"))  # at most train_docs documents
 
     model = Chain(subjects)
-    model.sources = [r[0] for r in labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(200).collect()]
+    model.sources = [r[0] for r in labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(MAX_SOURCES).collect()]
     model.terms = _pure_terms(_term_weights(labelled, copied, subjects, _given(subjects)), subjects, min_docs, purity, max_terms)
     for _ in range(rounds if model.terms else 0):
         seed = spark.sparkContext.broadcast(model.terms)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bagworks.llm.frequencies import heavy_terms, term_frequencies
 from bagworks.llm.leaders import leading_terms
 from bagworks.llm.occurrences import basket_occurrences, baskets, long_occurrences
-from bagworks.llm.overlap import PairCounter, descend, mix32, set_overlaps
+from bagworks.llm.overlap import PairCounter, build, descend, descent_report, mix32, set_overlaps
 from bagworks.llm.pairs import pair_counts
 
 TX = "db_id int, tid bigint, items array<int>, extra int, owner string"
@@ -88,7 +88,7 @@ def test_frequencies(spark, heavy):
 
 def test_frequencies_of_baskets_and_nothing(spark):
     df = transactions(spark, [(1, 1, [3, 3, None]), (1, 1, [3, None, 3]), (1, 2, []), (1, 3, None)])
-    occ = basket_occurrences(df, "db_id", "tid", "items")
+    occ = basket_occurrences(baskets(df, "db_id", "tid", "items"))
     assert sorted(map(tuple, term_frequencies(occ).where("term is not null").collect())) == [(1, 3, 2, 1)]
     assert term_frequencies(occ.where("owner = 9")).count() == 0
     assert len(heavy_terms(occ)) == 0
@@ -138,18 +138,62 @@ def test_overlap_edges(spark):
         set_overlaps(spark.createDataFrame([("a", -1)], "set_id string, k bigint"), "set_id", "k").count()
 
 
+def descended(sets, start=8):
+    rows = sorted((m, i) for i, s in enumerate(sets) for m in s)
+    c = PairCounter(len(sets))
+    m, i = (np.array(x) for x in zip(*rows))
+    descend(build(m.astype(np.uint64), i, len(sets), start), c)
+    return {(a, b): n for a, b, n in zip(*(x.tolist() for x in c.result()))}, c
+
+
 def test_complete_subtrees_end_the_descent():
-    """Two sets that fill whole ranges are counted from subtree counts."""
-    n = 1 << 24  # one whole subtree of 8 bits' depth
-    a = np.arange(n, dtype=np.uint64)
-    b = a[::1000]
-    mixed, sets = np.concatenate((a, b)), np.concatenate((np.zeros(n, np.int64), np.ones(len(b), np.int64)))
-    order = np.lexsort((sets, mixed))
-    c = PairCounter(2)
-    descend(mixed[order], sets[order], 2, c)
-    assert [x.tolist() for x in c.result()] == [[0], [1], [len(b)]]
+    """Two sets of which one fills a whole range, or both are the same in it, are counted from subtree counts."""
+    full = set(range(1 << 18))
+    part = {x for x in full if x % 1000 == 0}
+    got, c = descended([full, part])
+    assert got == {(0, 1): len(part)} and c.leaves == 0 and 0 < c.subtrees < 50
+    rng = random.Random(3)
+    same = {rng.randrange(2**32) for _ in range(3000)}
+    got, c = descended([same, set(same)])
+    assert got == {(0, 1): len(same)} and c.leaves == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_descent(seed, monkeypatch):
+    import bagworks.llm.overlap as o
+
+    monkeypatch.setattr(o, "_WIDE", 4)
+    monkeypatch.setattr(o, "_BLOCK", 3)
+    rng = random.Random(seed)
+    close = [rng.randrange(2**32) for _ in range(30)]
+    near = [x ^ rng.randrange(8) for x in close]  # settled at the leaves only
+    sets = [{rng.choice([*close, *near, rng.randrange(2**32)]) for _ in range(rng.randint(1, 80))} for _ in range(12)]
+    if seed > 3:
+        sets.append(set(range(5 << 20, (5 << 20) + (1 << 12))))
+        sets[0] |= {(5 << 20) + 7, (5 << 20) + 9}
+    got, c = descended(sets)
+    assert got == {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] & sets[b]}
+    assert c.subtrees and c.skipped
+
+
+def test_most_entries_are_settled_above_the_leaves(spark, data):
+    from bagworks.plans.tables import table
+
+    got = {r.outcome: r.entries for r in descent_report(table(spark, data, "kmer_sets"), "set_id", "k").collect()}
+    assert got["subtree"] > 10 * got["leaf"] and got["skipped"] > 0
 
 
 def test_mix_is_a_bijection():
     x = np.concatenate((np.arange(200_000), 2**32 - 1 - np.arange(200_000)))
     assert len(np.unique(mix32(x))) == len(x) and mix32(x).max() < 2**32
+
+
+def test_one_record_of_many_items_is_taken_in_pieces(monkeypatch):
+    import bagworks.llm.pairs as p
+
+    monkeypatch.setattr(p, "FOLD", 1000)
+    items = np.arange(300)
+    off = np.array([0, 300])
+    parts = list(p._products(off, items, np.ones(300, bool)))
+    assert max(len(a) for a, _ in parts) < 1400 and sum(len(a) for a, _ in parts) == 300 * 299 // 2
+    assert {(a, b) for x, y in parts for a, b in zip(x.tolist(), y.tolist())} == set(itertools.combinations(range(300), 2))

@@ -244,3 +244,31 @@ def test_windows_are_counted_by_notebook(spark):
     assert plain >= set(windows(BLOCK).tolist())
     more = {r.h for r in copied_windows(digest(spark.createDataFrame(rows + changed_copies(120, 1000), DOCS))).collect()}
     assert more == plain
+
+
+def test_items_that_fill_nothing_well_stay_in_shards_of_their_size(spark, monkeypatch):
+    """Items of more than half a container can't share one: no level puts more of them in a task than the shard's size says."""
+    import bagworks.llm.packing as p
+
+    seen, pack = [], p._pack
+
+    def spy(df, level, cap):
+        seen.append((level, df.groupBy("shard").count().agg({"count": "max"}).first()[0]))
+        return pack(df, level, cap)
+
+    monkeypatch.setattr(p, "_pack", spy)
+    df = spark.range(3000).selectExpr("id as doc_id", "5000 + id % 97 as n_tokens")
+    got = pack_documents(df, Capacity(8192, 64), shard_items=300).collect()
+    assert len(got) == len({r.doc_id for r in got}) == len({r.container_id for r in got}) == 3000
+    assert len(seen) == 2 and max(n for _, n in seen) < 400
+
+
+def test_places_and_cost_bind(spark):
+    df = spark.range(2000).selectExpr("id as doc_id", "(id * 37) % 900 as n_tokens")
+    cap = Capacity(8192, 12, cost=2_000_000.0)
+    by = {}
+    for r in pack_documents(df, cap, shard_items=500).collect():
+        by.setdefault(r.container_id, []).append(r.n_tokens)
+    assert sum(map(len, by.values())) == 2000 and all(len(v) <= 12 and sum(x * x for x in v) <= cap.cost for v in by.values())
+    fewest = max(2000 / 12, sum(x * x for v in by.values() for x in v) / cap.cost)
+    assert len(by) < 1.15 * fewest
