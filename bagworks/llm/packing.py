@@ -23,6 +23,8 @@ from bagworks.session import materialize
 
 #: Items in a shard, about, and the fill below which a shard's containers are packed again.
 SHARD_ITEMS, REPACK_BELOW = 10_000, 0.985
+#: Most tasks that shards are dealt to.
+MAX_TASKS = 10_000
 
 
 @dataclass(frozen=True)
@@ -146,7 +148,8 @@ def pack_documents(sizes: DataFrame, cap: Capacity = Capacity(), *, id_col: str
     while n_left:
         shards = math.ceil(n_left / shard_items)
         # shards by a hash of the level; a shard's items vary by chance about shard_items
-        dealt = left.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), "id", "piece"), F.lit(shards)))
+        # and are dealt to a stated number of tasks: a shard is little data but much work, and adaptive execution would merge them by size
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), "id", "piece"), F.lit(shards))).repartition(min(shards, MAX_TASKS), "shard")
         packed = materialize(_pack(dealt, level, cap))
         of = packed.groupBy("shard", "bin", "kept").agg(F.count(F.lit(1)).alias("k")).groupBy("kept").agg(F.count(F.lit(1)).alias("bins"), F.sum("k").alias("items"))
         made = {r.kept: (r.bins, r["items"]) for r in of.collect()}
