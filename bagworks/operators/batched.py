@@ -15,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bagworks.operators.scan import place
-from bagworks.session import checked_broadcast, materialize
+from bagworks.session import BROADCAST_ROWS, materialize
 
 #: Blocks that ids are dealt to where all pairs are made.
 BLOCKS = 16
@@ -32,22 +31,21 @@ def element_counts(sets: DataFrame, *, set_col: str = "set_id", key_col: str = "
 def all_pairs(sets: DataFrame, *, set_col: str = "set_id", blocks: int = BLOCKS) -> DataFrame:
     """(pair_id, a_id, b_id) of every two ids, a_id < b_id. Ids are dealt to blocks, and every two blocks meet in a task of their own.
 
-    The result grows with the square of the number of sets; for many sets give a pair table instead. Null ids are in no pair.
+    The result grows with the square of the number of sets and is written, so a pair keeps its number; for many sets give a pair table
+    instead. Null ids are in no pair.
     """
-    ids = place(sets.select(F.col(set_col).alias("id")).where("id is not null").distinct(), ["id"], "nr")
-    ids = materialize(ids.withColumn("blk", F.pmod("nr", F.lit(blocks)).cast("int")))
-    n = ids.count()
+    ids = sets.select(F.col(set_col).alias("id")).where("id is not null").distinct().withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    a = ids.select(F.col("id").alias("a_id"), F.col("nr").alias("na"), F.col("blk").alias("x"), F.explode(every).alias("y"))
-    b = ids.select(F.col("id").alias("b_id"), F.col("nr").alias("nb"), F.explode(every).alias("x"), F.col("blk").alias("y"))
-    return a.join(b, ["x", "y"]).where("na < nb").select((F.col("na") * n + F.col("nb")).alias("pair_id"), "a_id", "b_id")
+    a = ids.select(F.col("id").alias("a_id"), F.col("blk").alias("x"), F.explode(every).alias("y"))
+    b = ids.select(F.col("id").alias("b_id"), F.explode(every).alias("x"), F.col("blk").alias("y"))
+    return materialize(a.join(b, ["x", "y"]).where("a_id < b_id").select(F.monotonically_increasing_id().alias("pair_id"), "a_id", "b_id"))
 
 
 def _met(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """(pair_id, k, n): the common elements of each pair with min(m, n). counts: a table that is cheap to read again."""
     p = pairs.select("pair_id", "a_id", "b_id").where("a_id is not null and b_id is not null")
     n_pairs, n_sets = p.count(), counts.select("set_id").distinct().count()
-    p = checked_broadcast(p)
+    p = F.broadcast(p) if n_pairs <= BROADCAST_ROWS else p
     most = 2 * n_pairs // max(n_sets, 1) + 1
     shared = counts.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
     # by the element: its sets meet once for every two of them, the lesser id first
