@@ -22,13 +22,15 @@ from bagworks.session import checked_broadcast, materialize
 
 
 def _baskets(spark, d) -> DataFrame:
-    """The transactions, each once; written, as every operator on them reads them more than once."""
+    """The transactions, each once; written for operators that read them more than once."""
     return materialize(baskets(table(spark, d, "transactions"), "db_id", "tid", "items"))
 
 
-def _sources(spark, d) -> dict[str, DataFrame]:
+def _sources(spark, d, written: bool = True) -> dict[str, DataFrame]:
+    """Without `written` the transactions keep the partitioning by record in which their copies met."""
+    base = _baskets(spark, d) if written else baskets(table(spark, d, "transactions"), "db_id", "tid", "items")
     return {
-        "transactions": basket_occurrences(_baskets(spark, d)),
+        "transactions": basket_occurrences(base),
         "tidset_entries": long_occurrences(table(spark, d, "tidset_entries"), "file_id", "tid", "item", "pos"),
     }
 
@@ -55,7 +57,7 @@ def p1_counts(spark, d):
 
 # Problem 2
 def _frequencies(spark, d) -> DataFrame:
-    both = [term_frequencies(occ).select(F.lit(src).alias("src"), "*") for src, occ in _sources(spark, d).items()]
+    both = [term_frequencies(occ).select(F.lit(src).alias("src"), "*") for src, occ in _sources(spark, d, written=False).items()]
     t = materialize(both[0].unionByName(both[1]))
     n = t.where("term is null").select("src", "owner", F.col("records").alias("n"))
     return t.where("term is not null").join(checked_broadcast(n), ["src", "owner"])
