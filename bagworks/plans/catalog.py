@@ -361,17 +361,22 @@ _DENSE = f"""with t as materialized {_EVENTS},
  union all select i1 || ',' || i2 || ',' || i3, 3, count(*) from l3 group by i1, i2, i3
  union all select i1 || ',' || i2 || ',' || i3 || ',' || i4, 4, count(*) from l4 group by i1, i2, i3, i4
  union all select i1 || ',' || i2 || ',' || i3 || ',' || i4 || ',' || i5, 5, count(*) from l5 group by i1, i2, i3, i4, i5) where support >= 30"""
-_SPARSE = """with t as materialized (select distinct l_orderkey as tid, l_suppkey as item from lineitem),
- f as (select item from t group by item having count(*) >= 4), u as (select t.* from t join f using (item)),
- p as (select a.item as i1, b.item as i2, a.tid from u a join u b on a.tid = b.tid and a.item < b.item),
- q as (select i1, i2 from p group by i1, i2 having count(*) >= 4),
- s as (select p.i1, p.i2, c.item as i3, p.tid from p join q using (i1, i2) join u c on c.tid = p.tid and c.item > p.i2),
- r as (select i1, i2, i3 from s group by i1, i2, i3 having count(*) >= 4),
- v as (select s.i1, s.i2, s.i3, c.item as i4 from s join r using (i1, i2, i3) join u c on c.tid = s.tid and c.item > s.i3)
- select item::varchar as itemset, 1 as size, count(*) as support from t group by item having count(*) >= 4
- union all select i1 || ',' || i2, 2, count(*) from p group by i1, i2 having count(*) >= 4
- union all select i1 || ',' || i2 || ',' || i3, 3, count(*) from s group by i1, i2, i3 having count(*) >= 4
- union all select i1 || ',' || i2 || ',' || i3 || ',' || i4, 4, count(*) from v group by i1, i2, i3, i4 having count(*) >= 4"""
+
+
+def _sparse_sql(levels: int) -> str:
+    """Frequent itemsets level by level, with one more level than any of the test tables has."""
+    ctes = ["t as materialized (select distinct l_orderkey as tid, l_suppkey as item from lineitem)", "f1 as (select item as i1 from t group by item having count(*) >= 4)",
+        "u as (select t.* from t join f1 on item = i1)", "s1 as (select item as i1, tid from u)"]
+    out = ["select item::varchar as itemset, 1 as size, count(*) as support from t group by item having count(*) >= 4"]
+    for n in range(2, levels + 1):
+        old, new = ", ".join(f"i{i}" for i in range(1, n)), ", ".join(f"i{i}" for i in range(1, n + 1))
+        ctes.append(f"s{n} as materialized (select {old}, c.item as i{n}, c.tid from s{n - 1} join f{n - 1} using ({old}) join u c on c.tid = s{n - 1}.tid and c.item > i{n - 1})")
+        ctes.append(f"f{n} as (select {new} from s{n} group by {new} having count(*) >= 4)")
+        out.append(f"select concat_ws(',', {new}), {n}, count(*) from s{n} group by {new} having count(*) >= 4")
+    return f"with {', '.join(ctes)} {' union all '.join(out)}"
+
+
+_SPARSE = _sparse_sql(9)
 _GRAPH = """with p as (select distinct l_orderkey, l_partkey from lineitem),
  e as materialized (select distinct a.l_partkey as src, b.l_partkey as dst from p a join p b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey)"""
 
