@@ -131,6 +131,34 @@ def test_overlaps(spark, monkeypatch, chunk):
     assert got == brute_overlaps(rows)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.6])
+@pytest.mark.parametrize("entries", [40, 10**6])
+def test_overlaps_of_hot_values(spark, monkeypatch, share, entries):
+    """Blocks of few sets and pieces of few entries: every pair meets once, whether hot values, others or both carry it."""
+    import bagworks.llm.overlap as o
+
+    for name, n in (("_HOT", 6), ("_SETS", 5), ("_ENTRIES", entries)):
+        monkeypatch.setattr(o, name, n)
+    rng = random.Random(entries)
+    hot, some = ([rng.randrange(2**32) for _ in range(n)] for n in (12, 60))
+    rows = []
+    for i in range(40):
+        mine = rng.sample(hot, rng.randint(0, 12)) + rng.sample(some, rng.randint(0, 6)) + [rng.randrange(2**32) for _ in range(rng.choice([0, 3, 40]))]
+        rows += [(f"s{i}", k) for k in mine]
+    want = {p: x for p, x in brute_overlaps(rows).items() if x[0] >= share * min(x[1:]) - 1e-9}
+    got = [tuple(r) for r in set_overlaps(spark.createDataFrame(rows, "set_id string, k bigint"), "set_id", "k", min_share=share).collect()]
+    assert len(got) == len(want) and {r[:2]: r[2:] for r in got} == want
+
+
+def test_hot_values_send_no_pair_from_every_range(spark):
+    """Their sets are sent, a row an entry, instead of each range's pairs of sets."""
+    from bagworks.llm.overlap import _overlaps
+
+    rows = [(f"s{i}", k * 7919) for i in range(100) for k in range(30)]
+    sums, _ = _overlaps(spark.createDataFrame(rows, "set_id string, k bigint"), "set_id", "k", None)
+    assert sums.where("kind = 0").count() == 0 and sums.where("kind not in (0, 1, 2)").count() == len(rows)
+
+
 def test_overlap_edges(spark):
     e = spark.createDataFrame([], "set_id string, k bigint")
     assert set_overlaps(e, "set_id", "k").count() == 0
